@@ -5,16 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from moraine.llm import common, url_rules
+from moraine.llm import common, toxicity, url_rules
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(common.read_table(spark, sf_dir, "pages"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read_table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, common.read_table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(common.crc_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_rules": op3_url_rules,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
