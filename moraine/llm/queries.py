@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm import common, toxicity, url_rules
+from moraine.llm import common, decontaminate, packing, simhash, toxicity, url_rules
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(common.read_table(spark, sf_dir, "pages"))
 
 
+def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(common.read_table(spark, sf_dir, "documents"), common.read_table(spark, sf_dir, "benchmark"))
+
+
+def op6_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(common.read_table(spark, sf_dir, "documents"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(common.read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents")
     model = toxicity.train(docs, common.read_table(spark, sf_dir, "labels"))
@@ -23,6 +36,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_rules": op3_url_rules,
+    "op5_spaced_seeds": op5_spaced_seeds,
+    "op6_length_buckets": op6_length_buckets,
+    "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
 }
 
