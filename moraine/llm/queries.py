@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm import common, decontaminate, packing, simhash, toxicity, url_rules
+from moraine.llm import common, decontaminate, packing, secrets, simhash, toxicity, url_rules
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(common.read_table(spark, sf_dir, "pages"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(common.read_table(spark, sf_dir, "documents")))
+
+
 def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(common.read_table(spark, sf_dir, "documents"), common.read_table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +40,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_rules": op3_url_rules,
+    "op4_secrets": op4_secrets,
     "op5_spaced_seeds": op5_spaced_seeds,
     "op6_length_buckets": op6_length_buckets,
     "op7_simhash": op7_simhash,
