@@ -117,13 +117,13 @@ def scan(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, base, added) of every document: arrays of (start, kind number, end) spans in code points, sorted.
+    """(doc_id, key, base, added) of every document: arrays of (start, kind number, end) spans in code points, sorted; key hashes id and text.
 
     Null texts count as empty and have no spans. ``base`` has the pattern matches; ``added`` the candidates that pass the battery at
     ``alpha`` and the false discovery control at ``rate`` and touch no base span. Repeated rows each give a row. Further columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = documents.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
+    df = documents.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.monotonically_increasing_id().alias("row"))
     patterns = {"m0": ASSIGN, "m1": ACCESS, "m2": HEX, "m3": CANDIDATE}
     df = df.select("*", *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(m) for m, p in patterns.items()])
     df = df.withColumn("values", F.transform("m0", lambda m: F.regexp_extract(m, ASSIGN, 2)))
@@ -141,10 +141,10 @@ def scan(
     base = F.array_sort(F.concat(guarded(0, f"length(values[i]) >= {ASSIGN_LEAST}"), guarded(1, "true"), guarded(2, "true")))
     mixed = "m3[i] rlike '[0-9]' and m3[i] rlike '[A-Za-z]'"
     tokens = F.when(F.size("m3") > 0, F.expr(f"filter(transform(sequence(0, size(m3) - 1), i -> IF({mixed}, struct(s3[2 * i] AS start, s3[2 * i + 1] AS end, m3[i] AS token), null)), x -> x is not null)"))
-    df = df.select("row", "doc_id", base.alias("base"), tokens.alias("tokens"))
+    df = df.select("row", "key", "doc_id", base.alias("base"), tokens.alias("tokens"))
     # A candidate that touches a base span adds nothing.
     apart = F.expr("filter(tokens, t -> not exists(base, b -> b.start < t.end and t.start < b.end))")
-    df = common.materialize(df.select("row", "doc_id", "base", apart.alias("tokens")))
+    df = common.materialize(df.select("row", "key", "doc_id", "base", apart.alias("tokens")))
 
     judged = df.filter(F.size("tokens") > 0).select("row", F.explode("tokens").alias("t"))
     judged = judged.select("row", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.expr(f"explode(transform(sequence(0, int((length(t.token) - 1) / {STRETCH})), i -> substring(t.token, i * {STRETCH} + 1, {STRETCH})))").alias("token"))
@@ -161,7 +161,39 @@ def scan(
     chosen = judged.filter((F.col("p_random") >= alpha) & (F.col("bin") >= least_bin))
     chosen = chosen.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end"))).alias("added"))
     empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
-    return df.join(common.materialize(chosen), "row", "left").select("doc_id", "base", F.coalesce("added", empty).alias("added"))
+    return df.join(common.materialize(chosen), "row", "left").select("doc_id", "key", "base", F.coalesce("added", empty).alias("added"))
+
+
+def redact(documents: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with every found span replaced by ``mark``, all columns and rows kept, and n_chars, if there, counted anew.
+
+    Spans that overlap are replaced together. Rows that share an id may differ in text: the join is on id and a hash of both.
+    """
+    spans = scan(documents, id_col=id_col, text_col=text_col)
+    found = spans.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.array_sort(F.concat("base", "added")).alias("__spans")).filter(F.size("__spans") > 0)
+    found = common.materialize(found.groupBy("__key", "__id").agg(F.first("__spans").alias("__spans")))
+    joined_rows = documents.join(found.hint("merge"), (F.xxhash64(F.col(id_col), F.col(text_col)) == F.col("__key")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    merged = F.aggregate(
+        "__spans",
+        F.expr("cast(array() as array<struct<start:int,end:int>>)"),
+        lambda out, s: F.when(
+            (F.size(out) > 0) & (F.get(out, F.size(out) - 1)["end"] >= s["start"]),
+            F.concat(
+                F.slice(out, F.lit(1), F.size(out) - 1),
+                F.array(F.struct(F.get(out, F.size(out) - 1)["start"].alias("start"), F.greatest(F.get(out, F.size(out) - 1)["end"], s["end"]).alias("end"))),
+            ),
+        ).otherwise(F.concat(out, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
+    )
+    joined_rows = joined_rows.withColumn("__merged", F.when(F.size("__spans") > 0, merged))
+    # What stands before each span, and after the last.
+    pieces = F.expr(f"transform(sequence(0, size(__merged)), i -> substring({text_col}, IF(i = 0, 0, __merged[i - 1].end) + 1, IF(i = size(__merged), length({text_col}), __merged[i].start) - IF(i = 0, 0, __merged[i - 1].end)))")
+    text = F.when(F.size("__merged") > 0, F.array_join(pieces, mark)).otherwise(F.col(text_col))
+    out = joined_rows.withColumn("__text", text)
+    columns = []
+    for c in documents.columns:
+        column = F.col("__text").alias(c) if c == text_col else F.coalesce(F.length("__text").cast(documents.schema[c].dataType), F.col(c)).alias(c) if c == "n_chars" else F.col(c)
+        columns.append(column)
+    return out.select(*columns)
 
 
 #: Names of the kinds by number; the last are spans that the battery adds.
