@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm import common, decontaminate, packing, secrets, simhash, toxicity, url_rules
+from moraine.llm import common, decontaminate, html_extract, packing, secrets, simhash, toxicity, url_rules
+
+
+def op1_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(common.read_table(spark, sf_dir, "pages"))
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +43,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tag_paths": op1_tag_paths,
     "op3_url_rules": op3_url_rules,
     "op4_secrets": op4_secrets,
     "op5_spaced_seeds": op5_spaced_seeds,
