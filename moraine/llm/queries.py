@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm import common, decontaminate, html_extract, packing, secrets, simhash, toxicity, url_rules
+from moraine.llm import common, decontaminate, html_extract, langid, packing, secrets, simhash, toxicity, url_rules
 
 
 def op1_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(common.read_table(spark, sf_dir, "pages"))
 
 
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(common.crc_remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    return langid.predict(docs, langid.train(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(common.read_table(spark, sf_dir, "pages"))
 
@@ -44,6 +50,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tag_paths": op1_tag_paths,
+    "op2_ppm": op2_ppm,
     "op3_url_rules": op3_url_rules,
     "op4_secrets": op4_secrets,
     "op5_spaced_seeds": op5_spaced_seeds,
