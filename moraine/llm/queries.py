@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm import common, decontaminate, html_extract, langid, packing, secrets, simhash, toxicity, url_rules
+from moraine.llm import common, decontaminate, html_extract, langid, packing, repeats, secrets, simhash, toxicity, url_rules
 
 
 def op1_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op9_suffix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.deduplicate(common.read_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tag_paths": op1_tag_paths,
     "op2_ppm": op2_ppm,
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_length_buckets": op6_length_buckets,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
+    "op9_suffix_intervals": op9_suffix_intervals,
 }
 
 ORACLE_SQL: dict[str, str] = {
