@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm import common, decontaminate, html_extract, langid, packing, repeats, secrets, simhash, toxicity, url_rules
+from moraine.llm import common, decontaminate, html_extract, langid, packing, repeats, secrets, simhash, toxicity, url_rules, vectors
 
 
 def op1_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op9_suffix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.audited_near_duplicates(common.read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tag_paths": op1_tag_paths,
     "op2_ppm": op2_ppm,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_suffix_intervals": op9_suffix_intervals,
+    "op10_pruned_graph": op10_pruned_graph,
 }
 
 ORACLE_SQL: dict[str, str] = {
