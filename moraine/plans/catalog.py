@@ -1,18 +1,328 @@
-"""The registered queries and the SQL that gives the same rows."""
+"""The registered queries and the SQL that gives the same rows.
+
+Archives are packed from ``documents`` inside the queries, one for each source, so that plain SQL over the same tables can
+say what listing, decoding and rewriting them must give.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from moraine.functions import names, native
+from moraine.operators import decode, extract, reports, writer
+from moraine.sources.parse import list_entries
+from moraine.sources.wrappers import open_archives
+from moraine.testing import archives as make
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as members: archive is the source, the folder the language."""
+    docs = _table(spark, sf_dir, "documents")
+    path = F.concat("lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return docs.select(F.col("source").alias("archive_id"), path.alias("path"), F.col("text").cast("binary").alias("content"))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return open_archives(writer.create(_members(spark, sf_dir)))
+
 
-from pyspark.sql import DataFrame, SparkSession
+def _doc_id(path: Column) -> Column:
+    return F.regexp_extract(path, r"doc_(\d+)", 1).cast("long")
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+
+def _encoded(spark: SparkSession, sf_dir: str, build: Callable[[int, bytes], bytes], where: Column | None = None) -> DataFrame:
+    """One archive for each document, by ``build`` (doc_id, text)."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    if where is not None:
+        docs = docs.filter(where)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            files = [build(i, (t or "").encode()) for i, t in zip(ids, batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f"{i}.sit" for i in ids]), pa.array(files, pa.binary())], names=["archive_id", "name", "content"])
+
+    return docs.repartition(16).mapInArrow(run, "archive_id long, name string, content binary")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members and bytes by source."""
-    from pyspark.sql import functions as F
+    """Members and bytes by archive, after packing, detection, listing and decoding, with their checksums verified."""
+    found = decode.payloads(_packed(spark, sf_dir))
+    return found.filter("status = 'ok'").groupBy(F.col("archive_id").alias("source")).agg(F.count("*").alias("members"), F.sum("payload_size").alias("bytes"))
+
+
+def list_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = list_entries(_packed(spark, sf_dir)).filter("not is_dir")
+    return entries.select(F.col("archive_id").alias("source"), _doc_id(F.col("path")).alias("doc_id"), "path", F.col("data_fork.size").alias("size"))
+
+
+def _round_trip(method: int) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if method in (0, 14):
+            files = _encoded(spark, sf_dir, lambda i, t: make.v5([make.Member(f"doc_{i}.txt", t, method=method)]))
+        else:
+            files = _encoded(spark, sf_dir, lambda i, t: make.classic([make.Member(f"doc_{i}.txt", t, method=method)]))
+        found = decode.payloads(open_archives(files))
+        return found.select(_doc_id(F.col("path")).alias("doc_id"), "status", F.sha2("payload", 256).alias("sha256"))
+
+    return query
+
+
+def crc16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.encode(F.regexp_replace(F.substring("text", 1, 40), "[^\\x01-\\x7f]", "?"), "UTF-8")
+    return _table(spark, sf_dir, "documents").select("doc_id", native.crc16_ibm(text).cast("long").alias("ibm"), native.crc16_ccitt(text).cast("long").alias("ccitt"))
+
+
+def _wrapped(i: int, text: bytes) -> bytes:
+    inner = make.classic([make.Member(f"doc_{i}.txt", text)])
+    return [
+        lambda: inner, lambda: make.v5([make.Member(f"doc_{i}.txt", text)]), lambda: make.macbinary(inner), lambda: make.apple(inner), lambda: make.apple(inner, double=True, little=True), lambda: make.binhex(inner), lambda: b"MZ" + text, lambda: b"StuffIt!" + text, lambda: b"\xff" + text,
+    ][i % 9]()
+
+
+def identify_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reports.identify(open_archives(_encoded(spark, sf_dir, _wrapped)))
+    return found.groupBy("wrapper", "format", "status", "exit_code").agg(F.count("*").alias("n"))
+
+
+def wrapped_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decode.payloads(open_archives(_encoded(spark, sf_dir, _wrapped))).filter("path is not null")
+    return found.select(F.col("archive_id").alias("doc_id"), "status", F.sha2("payload", 256).alias("sha256"))
+
+
+def selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decode.payloads(_packed(spark, sf_dir), selectors=["/de/", "fr", "en/doc_1"])
+    return found.select(F.col("archive_id").alias("source"), "path", "payload_size")
+
+
+def path_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("", "/", "../", "a..b/", "c:", "d\\", "e/")]), (F.col("doc_id") % 7 + 1).cast("int")), F.lit("f"), F.col("doc_id").cast("string"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", made.alias("path"))
+    return docs.select("doc_id", "path", native.path_is_safe(F.col("path")).alias("safe"), native.relative_entry(F.col("path")).alias("relative"))
+
+
+def folder_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reports.folder_sizes(list_entries(_packed(spark, sf_dir)))
+    return found.select(F.col("archive_id").alias("source"), "folder", "files", "bytes")
+
+
+def method_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _encoded(spark, sf_dir, lambda i, t: make.classic([make.Member("a", t[:400], method=(0, 1, 2, 3)[i % 4]), make.Member("b", b"x", t[:50])]))
+    return reports.method_histogram(list_entries(open_archives(files))).select("method", "method_name", "archives", "forks")
+
+
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode.manifest(decode.payloads(_packed(spark, sf_dir))).select(F.col("archive_id").alias("source"), "path", "size", "sha256")
+
+
+def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    actual = decode.manifest(decode.payloads(_packed(spark, sf_dir)))
+    docs = _table(spark, sf_dir, "documents")
+    text = F.when(F.col("doc_id") % 5 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    path = F.concat("lang", F.lit("/doc_"), F.when(F.col("doc_id") % 5 == 2, F.col("doc_id") + 10_000_000).otherwise(F.col("doc_id")).cast("string"), F.lit(".txt"))
+    expected = docs.select(F.col("source").alias("archive_id"), path.alias("path"), F.octet_length(text).cast("long").alias("size"), F.sha2(text.cast("binary"), 256).alias("sha256"))
+    return reports.compare_manifests(expected, actual).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+def delete_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _packed(spark, sf_dir)
+    kept = writer.delete(writer.members_of(decode.payloads(files), list_entries(files)), ["es", "absent/path"])
+    again = list_entries(open_archives(writer.create(kept))).filter("not is_dir")
+    return again.select(F.col("archive_id").alias("source"), "path", F.col("data_fork.size").alias("size"))
+
+
+def add_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = _members(spark, sf_dir).withColumn("modify_time", _doc_id(F.col("path")))
+    new = old.filter(_doc_id(F.col("path")) % 3 == 0).withColumn("content", F.lit("new").cast("binary"))
+    new = new.withColumn("modify_time", F.when(_doc_id(F.col("path")) % 2 == 0, F.col("modify_time") + 1).otherwise(F.col("modify_time")))
+    more = old.filter(_doc_id(F.col("path")) % 50 == 1).withColumn("path", F.concat("path", F.lit(".add")))
+    found = writer.add(old, new.unionByName(more), update=True)
+    entries = list_entries(open_archives(writer.create(found))).filter("not is_dir")
+    return entries.select(F.col("archive_id").alias("source"), "path", F.col("data_fork.size").alias("size"))
+
+
+def _damaged(i: int, text: bytes) -> bytes:
+    good = make.v5([make.Member("a.txt", text), make.Member("b.txt", text), make.Member("c.txt", text)])
+    at = good.rindex(text) if text else len(good)
+    if i % 4 == 1 and text:
+        return good[:at] + bytes([good[at] ^ 1]) + good[at + 1 :]
+    return good[: len(good) // 2] if i % 4 == 2 else good
+
+
+def extract_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = extract.plan(open_archives(_encoded(spark, sf_dir, _damaged)))
+    found = extract.counters(events)
+    return found.select(F.col("archive_id").alias("doc_id"), "extracted_files", "checksum_errors", "status", "exit_code")
+
+
+def abort_first_fatal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes by user of the events table, cut at the first that counts as fatal."""
+    events = _table(spark, sf_dir, "events").select(F.col("user_id").alias("archive_id"), F.col("event_id").alias("event_idx"), F.when(F.col("event_id") % 17 == 3, "checksum").otherwise("ok").alias("status"))
+    return extract.abort_after_fatal(events).groupBy(F.col("archive_id").alias("user_id")).agg(F.count("*").alias("n"), F.max("event_idx").alias("last_event"))
+
+
+def rename_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.col("source").alias("archive_id"), F.col("lang").alias("path"), F.col("doc_id").alias("event_idx"))
+    return writer.rename_collisions(docs).select(F.col("event_idx").alias("doc_id"), "target")
+
+
+def hex_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = F.encode(F.regexp_replace("text", "[^\\x01-\\x7f]", "?"), "UTF-8")
+    return _table(spark, sf_dir, "documents").select("doc_id", native.hex_bytes(content, 4, 24).alias("hex"))
+
+
+def mac_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unix = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
+    mac = native.unix_to_mac(unix)
+    return _table(spark, sf_dir, "orders").select("o_orderkey", mac.alias("mac"), native.mac_to_unix(mac).alias("unix"))
+
+
+def mac_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = (F.col("doc_id") % 128 + 128).cast("long")
+    raw = F.concat(F.encode(F.lit("Caf"), "UTF-8"), native.big_endian(code, 1))
+    name = names.mac_roman(raw)
+    docs = _table(spark, sf_dir, "documents")
+    return docs.filter(F.col("doc_id") % 128 == 14).select("doc_id", name.alias("nfc"), F.lower(F.hex(F.encode(names.decomposed(name), "UTF-8"))).alias("nfd_hex"))
+
+
+def encrypted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    secrets = {0: None, 1: "wrong", 2: "password"}
+    files = open_archives(_encoded(spark, sf_dir, lambda i, t: make.v5([make.Member("a", t[:2000] or b"x", method=14)], password="password"), F.col("doc_id") % 10 == 0))
+    parts = [decode.payloads(files, password=p).select(F.col("archive_id").alias("doc_id"), F.lit(k).alias("attempt"), "status", F.sha2("payload", 256).alias("sha256")) for k, p in secrets.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def resource_forks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _encoded(spark, sf_dir, lambda i, t: make.v5([make.Member("a.txt", t, f"rsrc {i}".encode())]))
+    events = extract.plan(open_archives(files), forks="both")
+    return events.select(F.col("archive_id").alias("doc_id"), "output", "target", F.octet_length("content").cast("long").alias("size"), "status")
+
+
+def v5_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _encoded(spark, sf_dir, lambda i, t: make.v5([make.Member(f"top/mid_{i}/leaf.txt", t), make.Member("top/other.txt", b"o")]))
+    return list_entries(open_archives(files)).select(F.col("archive_id").alias("doc_id"), "entry_index", "path", "is_dir", F.col("data_fork.size").alias("size"))
+
+
+def listing_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = open_archives(_encoded(spark, sf_dir, lambda i, t: make.classic([make.Member(f"doc_{i}.txt", t)])))
+    found = reports.list_json(files, list_entries(files))
+    return found.select(F.col("archive_id").alias("doc_id"), F.regexp_replace("json", '"crc16":"[0-9a-f]{4}"', '"crc16":"-"').alias("json"))
+
+
+def exit_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.exit_histogram(reports.identify(open_archives(_encoded(spark, sf_dir, _wrapped))))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "flagship": flagship,
+    "list_store": list_store,
+    **{f"roundtrip_{name}": _round_trip(m) for m, name in ((0, "store"), (1, "rle"), (2, "compress"), (3, "huffman"), (13, "lz_huffman"), (14, "deflate"), (15, "arsenic"))},
+    "crc16": crc16,
+    "identify_wrappers": identify_wrappers,
+    "wrapped_payloads": wrapped_payloads,
+    "selectors": selectors,
+    "path_safety": path_safety,
+    "folder_rollup": folder_rollup,
+    "method_histogram": method_histogram,
+    "manifest": manifest,
+    "manifest_diff": manifest_diff,
+    "delete_prefix": delete_prefix,
+    "add_update": add_update,
+    "extract_counters": extract_counters,
+    "abort_first_fatal": abort_first_fatal,
+    "rename_collisions": rename_collisions,
+    "hex_range": hex_range,
+    "mac_times": mac_times,
+    "mac_names": mac_names,
+    "encrypted": encrypted,
+    "resource_forks": resource_forks,
+    "v5_folders": v5_folders,
+    "listing_json": listing_json,
+    "exit_histogram": exit_histogram,
+}
+
+_PATH = "lang || '/doc_' || doc_id || '.txt'"
+_ROUND_TRIP = "SELECT doc_id, 'ok' AS status, sha256(text) AS sha256 FROM documents"
+
+
+def _crc_sql(text: str, reflected: bool) -> str:
+    table = native.IBM_TABLE if reflected else native.CCITT_TABLE
+    entries = ", ".join(map(str, table))
+    step = f"xor(c >> 8, ([{entries}])[(xor(c, b) & 255) + 1])" if reflected else f"xor((c << 8) & 65535, ([{entries}])[(xor(c >> 8, b) & 255) + 1])"
+    octets = f"list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)"
+    return f"list_reduce(list_prepend(0::BIGINT, {octets}), lambda c, b: ({step})::BIGINT)"
+
+
+_ASCII_40 = "regexp_replace(substr(text, 1, 40), '[^\\x01-\\x7f]', '?', 'g')"
+_FORK = '{"present":%s,"size":%s,"compressed_size":%s,"method":0,"method_name":"none","crc16":"-","encrypted":false}'
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("source").agg(F.count("*").alias("members"), F.sum(F.octet_length("text")).alias("bytes"))
+ORACLE_SQL: dict[str, str] = {
+    "flagship": "SELECT source, count(*) AS members, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY source",
+    "list_store": f"SELECT source, doc_id, {_PATH} AS path, strlen(text) AS size FROM documents",
+    **{k: _ROUND_TRIP for k in QUERIES if k.startswith("roundtrip_")},
+    "crc16": f"SELECT doc_id, {_crc_sql(_ASCII_40, True)} AS ibm, {_crc_sql(_ASCII_40, False)} AS ccitt FROM documents",
+    "identify_wrappers": """
+        SELECT k.wrapper, k.format, k.status, k.exit_code, count(*) AS n
+        FROM documents JOIN (VALUES (0, 'raw', 'sit-classic', 'ok', 0), (1, 'raw', 'sit5', 'ok', 0), (2, 'macbinary', 'sit-classic', 'ok', 0), (3, 'applesingle', 'sit-classic', 'ok', 0),
+          (4, 'appledouble', 'sit-classic', 'ok', 0), (5, 'binhex', 'sit-classic', 'ok', 0), (6, 'pe-sfx', 'unknown', 'unsupported', 2), (7, 'raw', 'sitx', 'unsupported', 2), (8, 'unknown', 'unknown', 'unsupported', 2))
+          AS k(r, wrapper, format, status, exit_code) ON doc_id % 9 = k.r
+        GROUP BY ALL""",
+    "wrapped_payloads": "SELECT doc_id, 'ok' AS status, sha256(text) AS sha256 FROM documents WHERE doc_id % 9 < 6",
+    "selectors": f"SELECT source, {_PATH} AS path, strlen(text) AS payload_size FROM documents WHERE lang IN ('de', 'fr')",
+    "path_safety": """
+        WITH p AS (SELECT doc_id, (['', '/', '../', 'a..b/', 'c:', 'd\\', 'e/'])[doc_id % 7 + 1] || 'f' || doc_id AS path FROM documents)
+        SELECT doc_id, path, NOT starts_with(path, '/') AND NOT contains(path, '\\') AND NOT contains(path, '..') AND NOT contains(path, ':') AS safe,
+               doc_id % 7 IN (0, 3, 6) AS relative FROM p""",
+    "folder_rollup": """
+        SELECT source, coalesce(lang, '') AS folder, count(*) AS files, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY GROUPING SETS ((source, lang), (source))""",
+    "method_histogram": """
+        WITH m AS (SELECT doc_id, (doc_id % 4)::INT AS method FROM documents WHERE strlen(text) > 0),
+        f AS (SELECT doc_id, method FROM m UNION ALL SELECT doc_id, 0 FROM documents UNION ALL SELECT doc_id, 0 FROM documents WHERE strlen(text) > 0)
+        SELECT method, (['none', 'rle', 'compress', 'huffman'])[method + 1] AS method_name, count(DISTINCT doc_id) AS archives, count(*) AS forks
+        FROM f GROUP BY method""",
+    "manifest": f"SELECT source, {_PATH} AS path, strlen(text) AS size, sha256(text) AS sha256 FROM documents",
+    "manifest_diff": """
+        SELECT outcome, count(*) AS n FROM (
+          SELECT CASE WHEN doc_id % 5 = 1 THEN 'changed' WHEN doc_id % 5 = 2 THEN 'missing' ELSE 'same' END AS outcome FROM documents
+          UNION ALL SELECT 'extra' FROM documents WHERE doc_id % 5 = 2) GROUP BY outcome""",
+    "delete_prefix": f"SELECT source, {_PATH} AS path, strlen(text) AS size FROM documents WHERE lang <> 'es'",
+    "add_update": f"""
+        SELECT source, {_PATH} AS path, CASE WHEN doc_id % 6 = 0 THEN 3 ELSE strlen(text) END AS size FROM documents
+        UNION ALL SELECT source, {_PATH} || '.add', strlen(text) FROM documents WHERE doc_id % 50 = 1""",
+    "abort_first_fatal": """
+        WITH f AS (SELECT user_id, min(event_id) AS first_fatal FROM events WHERE event_id % 17 = 3 GROUP BY user_id)
+        SELECT e.user_id, count(*) AS n, max(event_id) AS last_event FROM events e LEFT JOIN f ON e.user_id = f.user_id
+        WHERE first_fatal IS NULL OR event_id <= first_fatal GROUP BY e.user_id""",
+    "rename_collisions": """
+        SELECT doc_id, CASE WHEN n > 0 THEN lang || '.' || n ELSE lang END AS target
+        FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS n FROM documents)""",
+    "hex_range": "SELECT doc_id, CASE WHEN strlen(t) >= 28 THEN lower(hex(substr(t, 5, 24))) END AS hex FROM (SELECT doc_id, regexp_replace(text, '[^\\x01-\\x7f]', '?', 'g') AS t FROM documents)",
+    "mac_times": "SELECT o_orderkey, epoch(o_orderdate)::BIGINT + 2082844800 AS mac, epoch(o_orderdate)::BIGINT AS unix FROM orders",
+    "mac_names": "SELECT doc_id, 'Café' AS nfc, '43616665cc81' AS nfd_hex FROM documents WHERE doc_id % 128 = 14",
+    "encrypted": """
+        SELECT doc_id, attempt, status, CASE WHEN attempt = 2 THEN sha256(CASE WHEN strlen(text) = 0 THEN 'x'::BLOB ELSE encode(text)[1:2000] END) END AS sha256
+        FROM documents, (VALUES (0, 'password-required'), (1, 'password-bad'), (2, 'ok')) AS a(attempt, status) WHERE doc_id % 10 = 0""",
+    "resource_forks": """
+        SELECT doc_id, output, target, CASE output WHEN 'data' THEN strlen(text) WHEN 'rsrc' THEN strlen('rsrc ' || doc_id) ELSE 82 + strlen('rsrc ' || doc_id) END AS size, 'ok' AS status
+        FROM documents, (VALUES ('data', 'a.txt'), ('rsrc', 'a.txt.rsrc'), ('appledouble', '._a.txt')) AS o(output, target) WHERE output <> 'data' OR strlen(text) > 0""",
+    "v5_folders": """
+        SELECT doc_id, i AS entry_index, replace(path, '#', doc_id::VARCHAR) AS path, i IN (0, 1) AS is_dir, CASE i WHEN 2 THEN strlen(text) WHEN 3 THEN 1 ELSE 0 END AS size
+        FROM documents, (VALUES (0, 'top'), (1, 'top/mid_#'), (2, 'top/mid_#/leaf.txt'), (3, 'top/other.txt')) AS e(i, path)""",
+    "listing_json": f"""
+        SELECT doc_id, '{{"format":"sit-classic","wrapper":"raw","entries":[{{"index":0,"path":"doc_' || doc_id || '.txt","kind":"file","data_fork":' ||
+          format('{_FORK.replace("{", "{{").replace("}", "}}").replace("%s", "{}")}', 'true', strlen(text), strlen(text)) || ',"resource_fork":{_FORK % ("false", 0, 0)},"finder":{{"type":"TEXT","creator":"ttxt","flags":"0000"}}}}]}}' AS json
+        FROM documents""",
+    "exit_histogram": """
+        SELECT count(*) AS total, count(*) FILTER (doc_id % 9 < 6) AS ok, count(*) FILTER (doc_id % 9 >= 6) AS unsupported, 0::BIGINT AS bad, 0::BIGINT AS password, 0::BIGINT AS failed FROM documents""",
+    "extract_counters": """
+        SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 2 WHEN 2 THEN 0 ELSE 3 END::BIGINT AS extracted_files, CASE doc_id % 4 WHEN 1 THEN 1 ELSE 0 END::BIGINT AS checksum_errors,
+          CASE doc_id % 4 WHEN 1 THEN 'checksum' WHEN 2 THEN 'bad-format' ELSE 'ok' END AS status, CASE WHEN doc_id % 4 IN (1, 2) THEN 3 ELSE 0 END AS exit_code FROM documents""",
+}
