@@ -3,14 +3,16 @@
 Wanted are all bytes covered by a string of ``least`` bytes that also starts elsewhere. Suffixes are not sorted at every
 byte but at anchors: of the 64-byte grams in every window of ``least`` bytes the one with the lowest hash is chosen, by the window's
 bytes alone, so two equal windows have the same anchor at the same place. An anchor whose whole
-surroundings (all windows that hold it) occur twice is settled by a hash of them. For the others, the
-suffixes that begin at equal anchors form an enhanced suffix array: sorted, with the common prefixes of neighbours. A
+surroundings (all windows that hold it) occur twice is settled by a hash of them. For the others, a window has either a
+long part after the anchor's start or a long one before it, so anchors meet if they share one or the other: a
+line that many documents have between different texts brings nothing together. The
+suffixes that begin at anchors that meet form an enhanced suffix array: sorted, with the common prefixes of neighbours. A
 stack-scan finds its interval tree. Each interval is a repeat to the right of the anchor with all its
 occurrences; how far each occurrence extends to the left together with another of the same interval is read from the order of the reversed left
 contexts. Where all extend alike the repeat is not yet maximal and its extension is what counts; where left and right
 together reach ``least`` bytes, the occurrence is covered that far.
 
-An anchor with very many different surroundings is dealt to tasks as pairs of tiles of bounded size, so every two
+Anchors of which very many with different surroundings meet are dealt to tasks as pairs of tiles of bounded size, so every two
 occurrences meet in one task and none holds them all.
 """
 
@@ -64,9 +66,19 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(data: bytes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, hash of the gram, hash of the surroundings) of each anchor."""
-    places, gram_hashes, around_hashes = [], [], []
+def halves(least: int) -> tuple[int, int]:
+    """Bytes before an anchor and from its start on: every window has as many of one or the other."""
+    ahead = GRAM + (least - GRAM) // 2
+    return least - ahead, ahead
+
+
+def anchors(data: bytes, least: int) -> list[np.ndarray]:
+    """Arrays of place, hash of the gram, of the surroundings, of what lies before, and of what lies ahead, of each anchor.
+
+    The last two hash the halves, and are zero where the text does not reach so far.
+    """
+    parts: list[list[np.ndarray]] = []
+    behind, forth = halves(least)
     width = least - GRAM + 1
     whole = np.frombuffer(data, np.uint8)
     step = (1 << _CHUNK_LOG) - 2 * least
@@ -87,14 +99,15 @@ def anchors(data: bytes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
         start, end = np.maximum(place - (least - GRAM), 0), np.minimum(place + least, n)
         around = _mix((sums[end] - sums[start]) * down[start])
         around = _mix(around ^ ((place - start).astype(np.uint64) << np.uint64(32)) ^ (end - place).astype(np.uint64))
-        places.append(place + low)
-        gram_hashes.append(grams[chosen])
-        around_hashes.append(around)
-    if not places:
-        none = np.zeros(0, np.uint64)
-        return none.astype(np.int64), none, none
-    place, first_seen = np.unique(np.concatenate(places), return_index=True)
-    return place, np.concatenate(gram_hashes)[first_seen], np.concatenate(around_hashes)[first_seen]
+        back, ahead = np.maximum(place - behind, 0), np.minimum(place + forth, n)
+        before = np.where(place + low >= behind, _mix((sums[place + GRAM] - sums[back]) * down[back]), 0)
+        after = np.where(place + forth <= n, _mix((sums[ahead] - sums[place]) * down[place]), 0)
+        parts.append([place + low, grams[chosen], around, before, after])
+    if not parts:
+        return [np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 4]
+    whole_arrays = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    _, first_seen = np.unique(whole_arrays[0], return_index=True)
+    return [x[first_seen] for x in whole_arrays]
 
 
 def _common(rows: list[bytes], order: list[int], width: int) -> np.ndarray:
@@ -178,27 +191,39 @@ def covered(documents: DataFrame, least: int, id_col: str, text_col: str) -> Dat
                 data = data.as_buffer()
                 if data.size < least:
                     continue
-                place, gram, around = anchors(data, least)
+                place, *hashes = anchors(data, least)
                 size = np.minimum(least, data.size - place)
-                parts.append((gram.view(np.int64), around.view(np.int64), np.full(len(place), a, np.int64), np.full(len(place), b, np.int32), place.astype(np.int32), size.astype(np.int32)))
+                parts.append((*(x.view(np.int64) for x in hashes), np.full(len(place), a, np.int64), np.full(len(place), b, np.int32), place.astype(np.int32), size.astype(np.int32)))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["h", "around", "a", "b", "place", "ahead"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=names)
 
-    schema = "h long, around long, a long, b int, place int, ahead int"
-    found = common.materialize(rows.select("a", "b", "bytes").mapInArrow(find, schema))
-    repeated = common.materialize(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [anchors(x.as_buffer(), least)[1] for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["h"])
+
+    schema = "h long, around long, before long, after long, a long, b int, place int, ahead int"
+    names = [x.split()[0] for x in schema.split(", ")]
+    # The anchors are found twice rather than kept: those that occur once are most of them.
+    repeated = rows.select("bytes").mapInArrow(grams, "h long").groupBy("h").agg(F.count("*").alias("n"))
+    repeated = common.materialize(repeated.filter("n > 1").select("h"))
+    found = rows.select("a", "b", "bytes").mapInArrow(find, schema)
     found = common.materialize(found.join(repeated.hint("merge"), "h", "left_semi"))
 
-    classes = found.groupBy("h", "around").agg(F.count("*").alias("n"), F.min(F.struct("a", "b", "place")).alias("one"))
+    classes = found.groupBy("h", "around").agg(F.count("*").alias("n"), F.min(F.struct("a", "b", "place")).alias("one"), F.first("before").alias("before"), F.first("after").alias("after"))
     classes = common.materialize(classes)
     # Surroundings that occur twice: every window that holds the anchor is repeated.
     twice = classes.filter("n > 1").select("h", "around")
     settled = found.join(twice.hint("merge"), ["h", "around"]).select("a", "b", (F.greatest(F.col("place") - (least - GRAM), F.lit(0))).alias("start"), (F.col("place") + F.col("ahead")).alias("end"))
     settled = settled.filter(F.col("end") - F.col("start") >= least)
 
-    # Other anchors with different surroundings: their suffixes and left contexts.
-    several = common.materialize(classes.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
-    wanted = classes.join(several.hint("merge"), "h").select("h", "kinds", "one.a", "one.b", "one.place", F.col("n").alias("copies"))
+    # Other anchors with different surroundings that share what lies ahead or before: their suffixes and left contexts.
+    meeting = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("after").alias("half")), F.struct(F.lit(1).alias("side"), F.col("before").alias("half"))))
+    sided = classes.select("h", "one", "n", meeting.alias("m")).select("h", "one", "n", "m.side", "m.half").filter("half <> 0")
+    several = common.materialize(sided.groupBy("h", "side", "half").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
+    wanted = sided.join(several.hint("merge"), ["h", "side", "half"])
+    # Anchors that meet are a group under one hash from here on.
+    wanted = wanted.select(F.xxhash64("h", "side", "half").alias("h"), "kinds", "one.a", "one.b", "one.place", F.col("n").alias("copies"))
     wanted = wanted.groupBy("a", "b").agg(F.collect_list(F.struct("h", "kinds", "place", "copies")).alias("at"))
     texts = rows.select("a", "b", "bytes").join(common.materialize(wanted).hint("merge"), ["a", "b"])
 
