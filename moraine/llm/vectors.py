@@ -89,6 +89,18 @@ def flat_graph(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lists, np.array(medoids)
 
 
+#: Pairs whose neighbour lists or vectors are in memory at once.
+_PAIRS = 1 << 12
+
+
+def _similarity(unit: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty(len(a))
+    for at in range(0, len(a), 4 * _PAIRS):
+        part = slice(at, at + 4 * _PAIRS)
+        out[part] = np.einsum("ij,ij->i", unit[a[part]], unit[b[part]])
+    return out
+
+
 def range_search(unit: np.ndarray, lists: np.ndarray, medoids: np.ndarray, queries: np.ndarray, least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """(query, point) pairs of similarity ``least`` or more: greedy beam search, then expansion of the range."""
     n, m = len(queries), len(unit)
@@ -124,7 +136,7 @@ def range_search(unit: np.ndarray, lists: np.ndarray, medoids: np.ndarray, queri
         p = around[q, slot]
         q = active[q]
         seen[q, p] = True
-        s = np.einsum("ij,ij->i", unit[queries[q]], unit[p])
+        s = _similarity(unit, queries[q], p)
         keep(q, p, s)
         wide = np.full((n, around.shape[1]), -np.inf)
         wide_nodes = np.full((n, around.shape[1]), -1, np.int64)
@@ -139,17 +151,24 @@ def range_search(unit: np.ndarray, lists: np.ndarray, medoids: np.ndarray, queri
     # Everything near enough is expanded until nothing new is near.
     q, p = np.concatenate(found_q), np.concatenate(found_p)
     out_q, out_p = [q], [p]
-    while len(q):
+    waiting = [(q, p)]
+    while waiting:
+        q, p = waiting.pop()
+        if len(q) > _PAIRS:
+            waiting.append((q[_PAIRS:], p[_PAIRS:]))
+            q, p = q[:_PAIRS], p[:_PAIRS]
         around = lists[p]
         fresh = (around >= 0) & ~seen[q[:, None], np.maximum(around, 0)]
         at, slot = np.nonzero(fresh)
         pairs = np.unique(q[at] * m + around[at, slot])
         q, p = pairs // m, pairs % m
         seen[q, p] = True
-        near = np.einsum("ij,ij->i", unit[queries[q]], unit[p]) >= least
+        near = _similarity(unit, queries[q], p) >= least
         q, p = q[near], p[near]
-        out_q.append(q)
-        out_p.append(p)
+        if len(q):
+            out_q.append(q)
+            out_p.append(p)
+            waiting.append((q, p))
     return np.concatenate(out_q), np.concatenate(out_p)
 
 
@@ -169,7 +188,7 @@ def links_within(values: np.ndarray, threshold: float, beam: int = BEAM) -> tupl
         pairs.append(np.minimum(q, p) * m + np.maximum(q, p))
     pair = np.unique(np.concatenate(pairs))
     i, j = pair // m, pair % m
-    cosine = np.einsum("ij,ij->i", values[i], values[j]) / (length[i] * length[j])
+    cosine = _similarity(values, i, j) / (length[i] * length[j])
     good = (i != j) & (cosine >= threshold)
     return i[good], j[good]
 
@@ -260,11 +279,20 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, beam: int =
             values = np.array([x[4] for x in group])
             ids, copies = np.array([x[2] for x in group]), np.array([x[3] for x in group])
             i, j = links_within(values, threshold, beam)
-            own = [x[0] for x in group]
+            own = np.array([x[0] for x in group])
             _, _, cluster, first, second = key
-            near = [frozenset(x[1]) for x in group]
+            near = np.full((len(group), OVERLAP), -1, np.int64)
+            for n, x in enumerate(group):
+                near[n, : len(x[1])] = x[1]
             # A pair counts in the lowest cluster that has both, and in the tiles it is of.
-            counts = np.array([min(near[a] & near[b]) == cluster and {own[a], own[b]} == {first, second} for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
+            counts = np.minimum(own[i], own[j]) == first
+            counts &= np.maximum(own[i], own[j]) == second
+            lowest = np.full(len(i), np.iinfo(np.int64).max)
+            for n in range(OVERLAP):
+                shared_by = near[i, n]
+                both = (shared_by >= 0) & (near[j] == shared_by[:, None]).any(axis=1)
+                lowest = np.where(both, np.minimum(lowest, shared_by), lowest)
+            counts &= lowest == cluster
             number = np.zeros(len(group), np.int64)
             if len(i):
                 np.add.at(number, i[counts], copies[j[counts]])
