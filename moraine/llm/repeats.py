@@ -29,7 +29,7 @@ from moraine.llm import common
 
 GRAM = 64
 #: Occurrences of one anchor in a tile.
-TILE = 1024
+TILE = 2048
 _CHUNK_LOG = 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
