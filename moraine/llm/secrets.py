@@ -40,30 +40,23 @@ BINS_PER_DECADE = 20
 MOST_DECADES = 20
 
 
-def _prefix_sums(values: Column, size: int = 256) -> Column:
-    """Sum of the values up to and with each, in two levels so that many values cost n * size at most."""
-    n = F.size(values)
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / size).cast("int")),
-        lambda b: F.slice(values, b * size + 1, F.lit(size)),
-    )
-    add = lambda acc, x: acc + x
-    sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), add))
-    inner = F.transform(
-        blocks,
-        lambda block, i: F.transform(block, lambda _, j: F.aggregate(F.slice(sums, 1, i), F.lit(0), add) + F.aggregate(F.slice(block, 1, j + 1), F.lit(0), add)),
-    )
-    return F.when(n > 0, F.flatten(inner)).otherwise(F.array().cast("array<int>"))
-
-
 def _lengths(parts: Column) -> Column:
     return F.transform(parts, lambda p: F.length(p))
 
 
-def _spans(matches: str, pieces: str) -> Column:
-    """(start, end) of each match: what stands between matches and the matches themselves, summed up."""
-    both = F.zip_with(_lengths(F.slice(F.col(pieces), F.lit(1), F.size(matches))), _lengths(F.col(matches)), lambda a, b: F.array(a, b))
-    return _prefix_sums(F.flatten(both))
+def _with_spans(df: DataFrame, i: str, block: int = 256) -> DataFrame:
+    """Adds ``s<i>``: start and end of each match in ``m<i>``, by summing up the lengths of matches and of what ``p<i>`` has between them.
+
+    Sums go in two levels, each a column of its own, so that many matches cost their number times the block at most.
+    """
+    between = F.zip_with(_lengths(F.slice(F.col(f"p{i}"), F.lit(1), F.size(f"m{i}"))), _lengths(F.col(f"m{i}")), lambda a, b: F.array(a, b))
+    df = df.withColumn(f"l{i}", F.flatten(between))
+    df = df.withColumn(f"b{i}", F.expr(f"transform(sequence(0, int((greatest(size(l{i}), 1) - 1) / {block})), k -> slice(l{i}, k * {block} + 1, {block}))"))
+    # Columns stand outside of lambdas here: the optimizer may put their expressions in their place.
+    offsets = f"aggregate(b{i}, array(0), (o, x) -> concat(o, array(element_at(o, -1) + aggregate(x, 0, (n, y) -> n + y))))"
+    inside = "transform(x, (y, j) -> o + aggregate(slice(x, 1, j + 1), 0, (n, z) -> n + z))"
+    df = df.withColumn(f"s{i}", F.expr(f"flatten(zip_with(b{i}, slice({offsets}, 1, size(b{i})), (x, o) -> {inside}))"))
+    return df.drop(f"l{i}", f"b{i}", f"p{i}")
 
 
 def _normal_tail(z: Column) -> Column:
@@ -126,19 +119,19 @@ def scan(
     df = documents.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.monotonically_increasing_id().alias("row"))
     patterns = {"m0": ASSIGN, "m1": ACCESS, "m2": HEX, "m3": CANDIDATE}
     df = df.select("*", *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(m) for m, p in patterns.items()])
-    df = df.withColumn("values", F.transform("m0", lambda m: F.regexp_extract(m, ASSIGN, 2)))
     none = F.array().cast("array<string>")
     df = df.select("*", *[F.when(F.size(m) > 0, F.split("text", p, -1)).otherwise(none).alias(f"p{m[1]}") for m, p in patterns.items()]).drop("text")
-    df = df.select("*", *[_spans(m, f"p{m[1]}").alias(f"s{m[1]}") for m in patterns]).drop("p0", "p1", "p2", "p3")
+    for m in patterns:
+        df = _with_spans(df, m[1])
 
-    def spans(i: int, keep: str) -> Column:
-        return F.expr(f"filter(transform(sequence(0, size(m{i}) - 1), i -> IF(i < 0, null, IF({keep}, struct(s{i}[2 * i] AS start, {i} AS kind, s{i}[2 * i + 1] AS end), null))), x -> x is not null)")
+    empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
 
-    # sequence(0, -1) counts down; no matches are dealt with first.
-    def guarded(i: int, keep: str) -> Column:
-        return F.when(F.size(f"m{i}") > 0, spans(i, keep)).otherwise(F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)"))
+    def spans(i: int, keep=lambda m: F.lit(True)) -> Column:
+        """Structs of the matches of one kind that are kept; starts and ends alternate in ``s<i>``."""
+        pairs = F.zip_with(F.col(f"m{i}"), F.expr(f"transform(sequence(0, size(m{i}) - 1), k -> slice(s{i}, 2 * k + 1, 2))"), lambda m, s: F.when(keep(m), F.struct(s[0].alias("start"), F.lit(i).alias("kind"), s[1].alias("end"))))
+        return F.when(F.size(f"m{i}") > 0, F.filter(pairs, lambda x: x.isNotNull())).otherwise(empty)
 
-    base = F.array_sort(F.concat(guarded(0, f"length(values[i]) >= {ASSIGN_LEAST}"), guarded(1, "true"), guarded(2, "true")))
+    base = F.array_sort(F.concat(spans(0, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_LEAST), spans(1), spans(2)))
     mixed = "m3[i] rlike '[0-9]' and m3[i] rlike '[A-Za-z]'"
     tokens = F.when(F.size("m3") > 0, F.expr(f"filter(transform(sequence(0, size(m3) - 1), i -> IF({mixed}, struct(s3[2 * i] AS start, s3[2 * i + 1] AS end, m3[i] AS token), null)), x -> x is not null)"))
     df = df.select("row", "key", "doc_id", base.alias("base"), tokens.alias("tokens"))
@@ -160,7 +153,6 @@ def scan(
             least_bin = place
     chosen = judged.filter((F.col("p_random") >= alpha) & (F.col("bin") >= least_bin))
     chosen = chosen.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end"))).alias("added"))
-    empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
     return df.join(common.materialize(chosen), "row", "left").select("doc_id", "key", "base", F.coalesce("added", empty).alias("added"))
 
 
