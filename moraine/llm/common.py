@@ -56,9 +56,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(max_rounds):
         both = current.select("src", "dst").union(current.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        large = salted(both).join(_lowest_neighbour(both, SALTS), ["src", "salt"])
+        large = salted(both).join(_lowest_neighbour(both, SALTS).hint("merge"), ["src", "salt"])
         large = large.filter("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).distinct()
-        down = salted(large).join(_lowest_neighbour(large, SALTS), ["src", "salt"])
+        down = salted(large).join(_lowest_neighbour(large, SALTS).hint("merge"), ["src", "salt"])
         pairs = F.array(F.struct(F.col("src").alias("src"), F.col("low").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("low").alias("dst")))
         small = down.select(F.explode(pairs).alias("e")).select("e.src", "e.dst").filter("src <> dst").distinct()
         current = materialize(small)

@@ -129,7 +129,7 @@ def near_duplicates(documents: DataFrame, threshold: int = 4, words: int = 4, id
     prints = common.materialize(fingerprints(documents, words, id_col, text_col))
     classes = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     components = common.connected_components(linked_fingerprints(classes.filter("rep is not null"), threshold))
-    mapping = classes.join(components, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    mapping = classes.join(components.hint("merge"), F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     mapping = common.materialize(mapping)  # so that the next join may split a fingerprint that many documents share
     return prints.join(mapping.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
