@@ -1,13 +1,15 @@
 """Embedding near-duplicates over a robust-pruned flat graph.
 
-Equal vectors of a label are one class, met by a grouped minimum. The classes of a label are dealt to coarse
-clusters, each to its nearest few, so the clusters overlap. Within a cluster overlapping shards each get a
+Equal vectors of a label are one class, met by a grouped minimum. Each class of a label lives in the coarse
+cluster of its nearest centre, and meets the members of every other cluster that the triangle inequality leaves
+in reach, so that no pair near enough is kept apart. Among the points of a search overlapping shards each get a
 graph whose candidate lists are robust-pruned (a neighbour that another neighbour is closer to is left out); the
 shards' adjacency lists are united to one flat graph. Every member is searched for from the shards' medoids by greedy beam
 search, whose range is then expanded over all neighbours of what is near enough, and pairs are verified by cosine in double
 precision. ``audit`` compares the links of a bounded set of queries with brute force over all rows.
 
-A cluster with more members than a tile has pairs of tiles as tasks, each with a graph over both tiles.
+Clusters are cut to tiles, and pairs of tiles are the tasks. A pair of vectors belongs to the one task of its two
+tiles: within a tile all are searched for in its graph, between two tiles those of each in the graph of the other.
 """
 
 from __future__ import annotations
@@ -22,9 +24,7 @@ from pyspark.sql import functions as F
 from moraine.llm import common
 
 #: Members of a cluster aimed at, members of a tile, and the most coarse centres that are sent to executors.
-CLUSTER, TILE, MAX_CENTRES = 400, 1024, 4096
-#: Coarse clusters, and shards within, that a vector is in.
-OVERLAP = 3
+CLUSTER, TILE, MAX_CENTRES = 1024, 1024, 4096
 SHARD, DEGREE, CANDIDATES, ALPHA, BEAM = 256, 24, 48, 1.2, 32
 #: The search goes on around vectors of at least the threshold less this.
 SLACK = 0.03
@@ -193,6 +193,49 @@ def links_within(values: np.ndarray, threshold: float, beam: int = BEAM) -> tupl
     return i[good], j[good]
 
 
+def links_between(first: np.ndarray, second: np.ndarray, threshold: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): pairs found and verified of a row of ``first`` and a row of ``second`` (rows as in ``links_within``)."""
+    lengths = [np.linalg.norm(values, axis=1) for values in (first, second)]
+    units = [values / length[:, None] for values, length in zip((first, second), lengths, strict=True)]
+    pairs = [np.zeros(0, np.int64)]
+    for points, others, swapped in ((units[0], units[1], False), (units[1], units[0], True)):
+        if not len(points) or not len(others):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        lists, medoids = flat_graph(points)
+        both = np.concatenate([points, others])
+        for at in range(len(points), len(both), 256):
+            queries = np.arange(at, min(at + 256, len(both)))
+            q, p = range_search(both, lists, medoids, queries, threshold - SLACK, beam)
+            q = queries[q] - len(points)
+            pairs.append(q * len(second) + p if swapped else p * len(second) + q)
+    pair = np.unique(np.concatenate(pairs))
+    i, j = pair // len(second), pair % len(second)
+    cosine = np.einsum("ij,ij->i", first[i], second[j]) / (lengths[0][i] * lengths[1][j])
+    good = cosine >= threshold
+    return i[good], j[good]
+
+
+def cells_in_reach(vectors: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np.ndarray, list[list[int]]]:
+    """Each vector's home (its nearest unit centre), and the cells, home included, where vectors of cosine ``threshold`` to it can live.
+
+    A vector of cell c is no nearer to another centre than to c, so one within reach of it lies at most the reach beyond the
+    plane halfway between the two centres.
+    """
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    reach = np.sqrt(max(2 - 2 * threshold, 0.0))
+    near = unit @ centres.T
+    home = near.argmax(axis=1)
+    cells: list[list[int]] = [[]] * len(unit)
+    for h in np.unique(home).tolist():
+        apart = np.linalg.norm(centres - centres[h], axis=1)
+        at = np.flatnonzero(home == h)
+        allowed = near[at, h][:, None] - near[at] <= reach * apart + 1e-9
+        allowed[:, h] = True
+        for row, some in zip(at.tolist(), allowed, strict=True):
+            cells[row] = np.flatnonzero(some).tolist()
+    return home, cells
+
+
 def _lowest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Lowest id of each row's component."""
     low = ids.copy()
@@ -249,23 +292,32 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, beam: int =
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, dims, vectors = (batch.column(i).to_pylist() for i in (0, 1, 2))
-            near: list[list[int]] = []
-            for label, dim, v in zip(labels, dims, vectors, strict=True):
-                points = shared.value.get((label, dim))
-                near.append([0] if points is None else sorted(np.argsort(-(points @ np.array(v)), kind="stable")[:OVERLAP].tolist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.list_(pa.int32()))], names=["label", "dim", "embedding", "rep", "copies", "h1", "near"])
+            rows: dict[tuple[str, int], list[int]] = {}
+            for at, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                rows.setdefault(key, []).append(at)
+            vectors = batch.column(2).to_pylist()
+            home, near = np.zeros(len(vectors), np.int32), [[0]] * len(vectors)
+            for key, at in rows.items():
+                if (points := shared.value.get(key)) is not None:
+                    home[at], cells = cells_in_reach(np.array([vectors[n] for n in at]), points, threshold)
+                    for n, some in zip(at, cells, strict=True):
+                        near[n] = some
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.array(near, pa.list_(pa.int32()))], names=["label", "dim", "embedding", "rep", "copies", "h1", "cluster", "near"])
 
     kind = embeddings.schema[id_col].dataType.simpleString()
-    dealt = classes.select("label", "dim", "embedding", "rep", "copies", "h1").mapInArrow(deal, f"label string, dim int, embedding array<double>, rep {kind}, copies long, h1 long, near array<int>")
-    dealt = common.materialize(dealt.withColumn("cluster", F.explode("near")))
-    members = dealt.groupBy("label", "dim", "cluster").agg(F.count("*").alias("members"))
-    large = common.materialize(members.filter(F.col("members") > TILE))
-    tiled = dealt.join(large.hint("merge"), ["label", "dim", "cluster"], "left").withColumn("tiles", F.ceil(F.coalesce("members", F.lit(1)) / TILE).cast("int"))
-    tiled = tiled.withColumn("own", F.pmod("h1", "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.select("label", "dim", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "near", "rep", "copies", "embedding")
+    dealt = classes.select("label", "dim", "embedding", "rep", "copies", "h1").mapInArrow(deal, f"label string, dim int, embedding array<double>, rep {kind}, copies long, h1 long, cluster int, near array<int>")
+    dealt = common.materialize(dealt)
+    large = dealt.groupBy("label", "dim", "cluster").agg(F.count("*").alias("members")).filter(F.col("members") > TILE)
+    large = common.materialize(large.select("label", "dim", "cluster", F.ceil(F.col("members") / TILE).cast("int").alias("tiles")))
+    # A tile is a cluster and a number within it, in one long.
+    tile = lambda number: F.shiftleft(F.col("cluster").cast("long"), 32) + number
+    homes = dealt.join(large.hint("merge"), ["label", "dim", "cluster"], "left").withColumn("own", tile(F.pmod("h1", F.coalesce("tiles", F.lit(1)))))
+    visits = homes.drop("tiles", "cluster", "h1").withColumn("cluster", F.explode("near")).drop("near")
+    visits = visits.join(large.hint("merge"), ["label", "dim", "cluster"], "left")
+    visits = visits.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1))).withColumn("other", tile(F.col("other")))
+    tiled = visits.select("label", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "copies", "embedding")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    keys = ("label", "dim", "cluster", "i", "j")
+    keys = ("label", "dim", "i", "j")
     tiled = tiled.repartition(parts, *keys).sortWithinPartitions(*keys)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,40 +328,32 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, beam: int =
             if len(group) < 2:
                 group.clear()
                 return None
-            values = np.array([x[4] for x in group])
-            ids, copies = np.array([x[2] for x in group]), np.array([x[3] for x in group])
-            i, j = links_within(values, threshold, beam)
+            values = np.array([x[3] for x in group])
+            ids, copies = np.array([x[1] for x in group]), np.array([x[2] for x in group])
             own = np.array([x[0] for x in group])
-            _, _, cluster, first, second = key
-            near = np.full((len(group), OVERLAP), -1, np.int64)
-            for n, x in enumerate(group):
-                near[n, : len(x[1])] = x[1]
-            # A pair counts in the lowest cluster that has both, and in the tiles it is of.
-            counts = np.minimum(own[i], own[j]) == first
-            counts &= np.maximum(own[i], own[j]) == second
-            lowest = np.full(len(i), np.iinfo(np.int64).max)
-            for n in range(OVERLAP):
-                shared_by = near[i, n]
-                both = (shared_by >= 0) & (near[j] == shared_by[:, None]).any(axis=1)
-                lowest = np.where(both, np.minimum(lowest, shared_by), lowest)
-            counts &= lowest == cluster
+            # A pair is of this task alone, so that every link found counts once.
+            if key[2] == key[3]:
+                i, j = links_within(values, threshold, beam)
+            else:
+                sides = [np.flatnonzero(own == tile) for tile in key[2:]]
+                i, j = links_between(values[sides[0]], values[sides[1]], threshold, beam)
+                i, j = sides[0][i], sides[1][j]
             number = np.zeros(len(group), np.int64)
-            if len(i):
-                np.add.at(number, i[counts], copies[j[counts]])
-                np.add.at(number, j[counts], copies[i[counts]])
+            np.add.at(number, i, copies[j])
+            np.add.at(number, j, copies[i])
             low = _lowest(ids, i, j)
             some = (number > 0) | (low != ids)
             group.clear()
             return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(number[some]), pa.array(low[some])], names=["rep", "links", "low"])
 
         for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in range(10)]
-            for label, dim, cluster, i, j, own, near, rep, copies, v in zip(*columns, strict=True):
-                if key != (label, dim, cluster, i, j):
+            columns = [batch.column(n).to_pylist() for n in range(8)]
+            for label, dim, i, j, own, rep, copies, v in zip(*columns, strict=True):
+                if key != (label, dim, i, j):
                     if (done := close()) is not None:
                         yield done
-                    key = (label, dim, cluster, i, j)
-                group.append((own, near, rep, copies, v))
+                    key = (label, dim, i, j)
+                group.append((own, rep, copies, v))
         if (done := close()) is not None:
             yield done
 
@@ -358,11 +402,12 @@ def audit(embeddings: DataFrame, found: DataFrame, threshold: float = 0.98, most
 
 
 def audited_near_duplicates(embeddings: DataFrame, threshold: float = 0.98, least_recall: float = 0.9, most_rounds: int = 3, **columns: str) -> DataFrame:
-    """``near_duplicates`` with a recall of ``least_recall`` in the audit: while it is lower, the search is done again with twice the beam."""
+    """``near_duplicates`` with a recall of ``least_recall`` in the audit: while it is lower, the search is done again with twice the beam, and at last it is an error."""
     beam = BEAM
     for _ in range(most_rounds):
         found = common.materialize(near_duplicates(embeddings, threshold, beam, **columns))
-        if audit(embeddings, found, threshold, **columns) >= least_recall:
-            break
+        recall = audit(embeddings, found, threshold, **columns)
+        if recall >= least_recall:
+            return found
         beam *= 2
-    return found
+    raise RuntimeError(f"recall of links stays at {recall:.3f}, below {least_recall}")

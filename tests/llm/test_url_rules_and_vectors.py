@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 
 from moraine.llm import common, url_rules, vectors
 
@@ -110,3 +111,38 @@ def test_awkward_vectors(spark):
     want = [("1", 2, 1, True), ("10", 0, 10, True), ("11", 0, 11, True), ("12", 1, 12, True), ("13", 1, 12, False), ("2", 2, 1, False), ("2", 2, 1, False), ("3", 0, 3, True), ("4", 0, 4, True), ("5", 0, 5, True), ("6", 0, 6, True), ("7", 0, 7, True), ("8", 0, 8, True), ("9", 0, 9, True), ("None", 0, None, False)]
     assert got == want
     assert vectors.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_vectors_of_a_dense_group_meet_across_clusters(spark, monkeypatch):
+    """Nearly all pairs link, and the centres lie inside the group: every vector's nearest centres are almost random."""
+    monkeypatch.setattr(vectors, "TILE", 60)
+    monkeypatch.setattr(vectors, "CLUSTER", 30)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=64) + rng.normal(size=(900, 64)) * 0.13
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    true = unit @ unit.T >= 0.98
+    wanted = true.sum(axis=1) - 1
+    assert wanted.mean() > 300
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(frame).collect()}
+    links = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert (links <= wanted).all() and links.sum() >= 0.98 * wanted.sum()
+    assert all(r["n_links"] > 0 for r in got.values() if not r["kept"])
+
+
+def test_cells_in_reach_lose_no_pair():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 16))
+    x = np.concatenate([x, x + rng.normal(size=x.shape) * 0.1])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    home, cells = vectors.cells_in_reach(x, unit[::20], 0.98)
+    for i, j in zip(*np.nonzero(unit @ unit.T >= 0.98), strict=True):
+        assert home[j] in cells[i] and home[i] in cells[j]
+    assert sum(map(len, cells)) < len(x) * 40
+
+
+def test_low_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "audit", lambda *a, **b: 0.5)
+    frame = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1)], "vec_id long, embedding array<double>, label int")
+    with pytest.raises(RuntimeError, match="0.500"):
+        vectors.audited_near_duplicates(frame)
