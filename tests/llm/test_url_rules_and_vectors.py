@@ -146,3 +146,16 @@ def test_low_recall_is_an_error(spark, monkeypatch):
     frame = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1)], "vec_id long, embedding array<double>, label int")
     with pytest.raises(RuntimeError, match="0.500"):
         vectors.audited_near_duplicates(frame)
+
+
+def test_links_found_count_for_both_ends(spark, monkeypatch):
+    """Whatever the search finds between or within tiles is in n_links: with a search that finds all, none is lost."""
+    monkeypatch.setattr(vectors, "TILE", 100)
+    monkeypatch.setattr(vectors, "CLUSTER", 400)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=64) + rng.normal(size=(350, 64)) * 0.1
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    wanted = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(frame, beam=400).collect()}
+    assert [got[i] for i in range(350)] == wanted.tolist()
