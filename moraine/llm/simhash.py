@@ -134,9 +134,113 @@ def near_duplicates(documents: DataFrame, threshold: int = 4, words: int = 4, id
     return prints.join(mapping.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(documents: DataFrame, threshold: int = 4, words: int = 5) -> DataFrame:
-    """The document with the smallest id of each component, with all columns; rows without an id stay."""
-    found = near_duplicates(documents, threshold, words)
+#: Min-hash bands and rows of a band: a pair of similarity 0.8 shares no band with a chance of 3e-9.
+BANDS, BAND_ROWS = 50, 5
+#: Rounds in which the members of a bucket are compared with one of them before all pairs that are still apart are.
+STARS = 3
+_ODD, _ADD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_values(text: str | None, words: int = 5) -> np.ndarray:
+    """Distinct XXH64 values of a text's shingles, in order; a text of fewer words is one shingle, an empty one has none."""
+    from xxhash import xxh64_intdigest
+
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    size = min(words, len(tokens))
+    if not size:
+        return np.zeros(0, np.uint64)
+    values = [xxh64_intdigest(b" ".join(tokens[i : i + size]), SEED) for i in range(len(tokens) - size + 1)]
+    return np.unique(np.array(values, np.uint64))
+
+
+def band_keys(values: np.ndarray) -> np.ndarray:
+    """One key for each band of the min-hash sketch of a set of shingle values."""
+    low = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(values), 512):
+        np.minimum(low, (values[at : at + 512, None] * _ODD + _ADD).min(axis=0), out=low)
+    low = low.reshape(BANDS, BAND_ROWS)
+    keys = np.zeros(BANDS, np.uint64)
+    for i in range(BAND_ROWS):
+        keys = (keys ^ low[:, i]) * _MIX
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
+def _sketches(documents: DataFrame, words: int) -> DataFrame:
+    """(doc_id, same, bands): ``same`` is equal for equal sets of shingles."""
+    from hashlib import blake2b
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_values(t, words) for t in batch.column(1).to_pylist()]
+            same = pa.array([blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary())
+            bands = pa.array([band_keys(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), same, bands], names=["doc_id", "same", "bands"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, same binary, bands array<long>")
+
+
+def _shingle_sets(documents: DataFrame, words: int) -> DataFrame:
+    kind = documents.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_values(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "values"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, f"rep {kind}, values array<long>")
+
+
+def similar_components(documents: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """(doc_id, component_id) of every document with an id: components of the pairs whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Pairs meet by equal bands of a min-hash sketch and are verified on the exact sets. Where many meet in one bucket, they are first compared
+    with one of them, then only those are paired that are not in one component yet; so the components are those of all pairs that meet.
+    """
+    documents = documents.filter("doc_id is not null")
+    sketches = common.materialize(_sketches(documents, words))
+    classes = common.materialize(sketches.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+    placed = classes.select("rep", F.posexplode("bands").alias("band", "part"))
+    shared = placed.groupBy("band", "part").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    buckets = common.materialize(placed.join(shared.hint("merge"), ["band", "part"]))
+    meeting = buckets.select(F.col("rep").alias("doc_id")).distinct()
+    sets = common.materialize(_shingle_sets(documents.select("doc_id", "text").join(meeting.hint("merge"), "doc_id", "left_semi"), words))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        a, b = (sets.select(F.col("rep").alias(end), F.col("values").alias(f"{end}_values")) for end in ("src", "dst"))
+        both = pairs.distinct().join(a.hint("merge"), "src").join(b.hint("merge"), "dst")
+        common_ = F.size(F.array_intersect("src_values", "dst_values"))
+        union = F.size("src_values") + F.size("dst_values") - common_
+        return common.materialize(both.filter(common_ / union >= similarity).select("src", "dst"))
+
+    edges = components = None
+    for turn in range(STARS + 1):
+        now = buckets.withColumn("component", F.col("rep"))
+        if components is not None:
+            now = buckets.join(components.hint("merge"), F.col("rep") == F.col("node"), "left").select("band", "part", "rep", F.coalesce("component", "rep").alias("component"))
+        if turn < STARS:
+            order = F.struct(F.xxhash64("component", F.lit(turn)), F.xxhash64("rep", F.lit(turn)), "rep", "component")
+            head = now.groupBy("band", "part").agg(F.min(order).alias("head")).select("band", "part", F.col("head.rep").alias("dst"), F.col("head.component").alias("of"))
+            pairs = now.join(head.hint("merge"), ["band", "part"]).filter("component <> of")
+            pairs = pairs.select(F.greatest("rep", "dst").alias("src"), F.least("rep", "dst").alias("dst"))
+        else:
+            a, b = now.alias("a"), now.alias("b")
+            apart = (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.rep") > F.col("b.rep")) & (F.col("a.component") != F.col("b.component"))
+            pairs = a.hint("merge").join(b, apart).select(F.col("a.rep").alias("src"), F.col("b.rep").alias("dst"))
+        more = verified(pairs)
+        edges = more if edges is None else edges.union(more)
+        components = common.materialize(common.connected_components(edges))
+    found = classes.join(components.hint("merge"), F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("component_id"))
+    found = common.materialize(found)
+    return sketches.select("doc_id", "same").join(found.hint("merge"), "same").select("doc_id", "component_id")
+
+
+def keep_first(documents: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """The document with the smallest id of each component of similar documents, with all columns; rows without an id stay."""
+    found = similar_components(documents, similarity, words)
     keep = found.filter("doc_id = component_id").select("doc_id").distinct()
     named = documents.join(keep.hint("merge"), "doc_id", "left_semi").select(documents.columns)
     return named.unionByName(documents.filter("doc_id is null"))

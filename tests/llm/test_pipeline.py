@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from moraine.llm import decontaminate, secrets, simhash, toxicity
 
@@ -26,3 +28,31 @@ def test_stages_against_their_operators(spark, sf_dir, tmp_path):
             assert secrets.digest(secrets.scan(docs)).filter("n_access + n_hex > 0").count() == 0
         kept = now
     assert docs.filter("n_tokens > 0 and batch_id is null").count() == 0
+
+
+def test_simhash_stage_by_plain_shingles(spark):
+    """Every copy of similarity 0.8 or more goes, also where many meet, and no pair below links."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for k in range(12):
+        base = rng.choices(words, k=200)
+        texts.append(base)
+        for edits in (1, 2, 3, 4, 5, 8):
+            copy = list(base)
+            for at in rng.sample(range(200), edits):
+                copy[at] = f"x{rng.randrange(10**9)}"
+            texts.append(copy)
+    texts += [rng.choices(words, k=n) for n in (1, 3, 5, 6, 40)] + [[], [], ["a", "b"], ["A", "b"]]
+    sets = [{tuple(w.lower() for w in t[i : i + 5]) for i in range(max(len(t) - 4, 1))} if t else set() for t in texts]
+    first = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = sorted((first[i], first[j]), reverse=True)
+                first = [new if x == old else x for x in first]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_first(docs).collect()}
+    assert kept == {i for i, x in enumerate(first) if i == x} | {None}
+    assert sum(i != x for i, x in enumerate(first)) > 40
