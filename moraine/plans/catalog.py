@@ -77,7 +77,7 @@ def _round_trip(method: int) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def crc16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.encode(F.regexp_replace(F.substring("text", 1, 40), "[^\\x01-\\x7f]", "?"), "UTF-8")
+    text = F.encode(F.regexp_replace("text", "[^\\x01-\\x7f]", "?"), "UTF-8")
     return _table(spark, sf_dir, "documents").select("doc_id", native.crc16_ibm(text).cast("long").alias("ibm"), native.crc16_ccitt(text).cast("long").alias("ccitt"))
 
 
@@ -115,7 +115,7 @@ def folder_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def method_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _encoded(spark, sf_dir, lambda i, t: make.classic([make.Member("a", t[:400], method=(0, 1, 2, 3)[i % 4]), make.Member("b", b"x", t[:50])]))
+    files = _encoded(spark, sf_dir, lambda i, t: make.classic([make.Member("a", t, method=(0, 1, 2, 3)[i % 4]), make.Member("b", b"x", t)]))
     return reports.method_histogram(list_entries(open_archives(files))).select("method", "method_name", "archives", "forks")
 
 
