@@ -190,7 +190,7 @@ def mac_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.encode(F.lit("Caf"), "UTF-8"), native.big_endian(code, 1))
     name = names.mac_roman(raw)
     docs = _table(spark, sf_dir, "documents")
-    return docs.filter(F.col("doc_id") % 128 == 14).select("doc_id", name.alias("nfc"), F.lower(F.hex(F.encode(names.decomposed(name), "UTF-8"))).alias("nfd_hex"))
+    return docs.select("doc_id", name.alias("nfc"), F.lower(F.hex(F.encode(names.decomposed(name), "UTF-8"))).alias("nfd_hex"))
 
 
 def encrypted(spark: SparkSession, sf_dir: str) -> DataFrame:

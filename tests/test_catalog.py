@@ -1,4 +1,5 @@
 import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -43,3 +44,13 @@ def test_method_histogram_packs_whole_texts(spark, tmp_path, monkeypatch):
     whole = sum(map(len, texts))
     assert seen == [(whole + 4, whole)]
     assert {r["method"]: r["forks"] for r in rows} == {0: 9, 1: 1, 2: 1, 3: 1}
+
+
+def test_mac_names_of_every_high_byte(spark, tmp_path):
+    got = {r["doc_id"]: r for r in catalog.mac_names(spark, documents(spark, tmp_path, [(i, "x") for i in range(256)])).collect()}
+    assert sorted(got) == list(range(256))
+    for i in range(256):
+        name = "Caf" + bytes([i % 128 + 128]).decode("mac_roman")
+        # The reference does not take U+2260 apart.
+        apart = name if name[-1] == "\u2260" else unicodedata.normalize("NFD", name)
+        assert (got[i]["nfc"], bytes.fromhex(got[i]["nfd_hex"]).decode()) == (name, apart), hex(i % 128 + 128)
