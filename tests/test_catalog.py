@@ -1,3 +1,4 @@
+import hashlib
 import re
 import unicodedata
 
@@ -54,3 +55,13 @@ def test_mac_names_of_every_high_byte(spark, tmp_path):
         # The reference does not take U+2260 apart.
         apart = name if name[-1] == "\u2260" else unicodedata.normalize("NFD", name)
         assert (got[i]["nfc"], bytes.fromhex(got[i]["nfd_hex"]).decode()) == (name, apart), hex(i % 128 + 128)
+
+
+def test_encrypted_runs_over_all_documents_and_whole_texts(spark, tmp_path):
+    texts = ["", "short", "long text " * 500, "a" * 2001]
+    got = {(r["doc_id"], r["attempt"]): (r["status"], r["sha256"]) for r in catalog.encrypted(spark, documents(spark, tmp_path, list(enumerate(texts)))).collect()}
+    want = {}
+    for i, text in enumerate(texts):
+        want[i, 0], want[i, 1] = ("password-required", None), ("password-bad", None)
+        want[i, 2] = ("ok", hashlib.sha256((text or "x").encode()).hexdigest())
+    assert got == want
