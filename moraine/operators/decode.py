@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from moraine.functions import vocab
 from moraine.functions.native import clean_selector, crc16_ibm_bytes
 from moraine.operators import codecs, crypto
+from moraine.operators import tables as fixed
 from moraine.sources.parse import Entry, Fork, parse
 
 PAYLOAD_FIELDS = [
@@ -35,11 +36,11 @@ PAYLOAD_FIELDS = [
 
 @dataclass(frozen=True)
 class Tables:
-    """Values of the formats that come as parameters: predefined code sets of method 13, gaps of method 15, boxes of the classic cipher."""
+    """Fixed values of the formats, the reference's unless others are given: predefined code sets of method 13, gaps of method 15, boxes of the classic cipher."""
 
-    code_sets: Sequence = ()
-    gaps: Sequence[int] = ()
-    boxes: Sequence[Sequence[int]] = ()
+    code_sets: Sequence = fixed.CODE_SETS
+    gaps: Sequence[int] = fixed.GAPS
+    boxes: Sequence[Sequence[int]] = fixed.BOXES
 
 
 def _plain(content: bytes, fork: Fork, password: str | None, tables: Tables) -> tuple[str, bytes]:
