@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Token positions that count.
 MASKS = ((0, 1, 2, 5, 6), (0, 2, 3, 4, 5))
+#: Besides, for whole items of 10 and 11 tokens, where some two substitutions touch all places of both masks.
+BRIEF, BRIEF_MASK = (10, 11), (0, 1, 2, 4, 7)
 WINDOW = 13
 SIMILARITY = 0.8
 #: Items of fewer tokens match only as a whole and exactly.
@@ -81,7 +83,8 @@ class Index:
             index.names[known[ids]].append(name)
         postings = defaultdict(list)
         for item, ids in enumerate(index.items):
-            for mask in MASKS if len(ids) >= SHORT else (tuple(range(len(ids))),):
+            masks = MASKS if len(ids) >= SHORT else (tuple(range(len(ids))),)
+            for mask in (*masks, BRIEF_MASK) if len(ids) in BRIEF else masks:
                 where, hashes = masked_hashes(ids, mask)
                 postings[mask].append((hashes, np.full(len(where), item), where))
         for mask, found in postings.items():
