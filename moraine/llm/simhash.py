@@ -136,8 +136,8 @@ def near_duplicates(documents: DataFrame, threshold: int = 4, words: int = 4, id
 
 #: Min-hash bands and rows of a band: a pair of similarity 0.8 shares no band with a chance of 3e-9.
 BANDS, BAND_ROWS = 50, 5
-#: Rounds in which the members of a bucket are compared with one of them before all pairs that are still apart are.
-STARS = 3
+#: Members of a bucket that all others of it are compared with before the pairs that are still apart are.
+HEADS = 3
 _ODD, _ADD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -150,8 +150,11 @@ def shingle_values(text: str | None, words: int = 5) -> np.ndarray:
     size = min(words, len(tokens))
     if not size:
         return np.zeros(0, np.uint64)
-    values = [xxh64_intdigest(b" ".join(tokens[i : i + size]), SEED) for i in range(len(tokens) - size + 1)]
-    return np.unique(np.array(values, np.uint64))
+    joined = b" ".join(tokens)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    pairs = zip(starts[: len(tokens) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)
+    return np.unique(np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in pairs], np.uint64))
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
@@ -167,80 +170,87 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _sketches(documents: DataFrame, words: int) -> DataFrame:
-    """(doc_id, same, bands): ``same`` is equal for equal sets of shingles."""
+def _keyed(documents: DataFrame) -> DataFrame:
+    """(doc_id, key, text) of the rows with an id; rows of equal id and text have equal keys."""
+    return documents.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("key"), "text")
+
+
+def _sketches(rows: DataFrame, words: int) -> DataFrame:
+    """(doc_id, key, node, bands): ``node`` is equal for equal sets of shingles."""
     from hashlib import blake2b
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_values(t, words) for t in batch.column(1).to_pylist()]
-            same = pa.array([blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary())
+            sets = [shingle_values(t, words) for t in batch.column(2).to_pylist()]
+            node = np.array([int.from_bytes(blake2b(x.tobytes(), digest_size=8).digest(), "little") for x in sets], np.uint64)
             bands = pa.array([band_keys(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), same, bands], names=["doc_id", "same", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.view(np.int64)), bands], names=["doc_id", "key", "node", "bands"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, same binary, bands array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, key long, node long, bands array<long>")
 
 
-def _shingle_sets(documents: DataFrame, words: int) -> DataFrame:
-    kind = documents.schema["doc_id"].dataType.simpleString()
+def _shingle_sets(rows: DataFrame, words: int) -> DataFrame:
+    """(node, values) of rows (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_values(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "values"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"rep {kind}, values array<long>")
+    return rows.select("node", "text").mapInArrow(run, "node long, values array<long>")
 
 
-def similar_components(documents: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """(doc_id, component_id) of every document with an id: components of the pairs whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+def similar_classes(documents: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """(node, doc_id, key, component): a row for each set of shingles, with the smallest id that has it, that id's smallest text key, and its component.
 
-    Pairs meet by equal bands of a min-hash sketch and are verified on the exact sets. Where many meet in one bucket, they are first compared
-    with one of them, then only those are paired that are not in one component yet; so the components are those of all pairs that meet.
+    Components are over the pairs whose sets have a Jaccard similarity of ``similarity`` or more. Pairs meet by equal bands of a min-hash sketch and are
+    verified on the exact sets. In a bucket all are first compared with a few of them, then those that are not in one component
+    yet are paired; so the components are those of all pairs that meet.
     """
-    documents = documents.filter("doc_id is not null")
-    sketches = common.materialize(_sketches(documents, words))
-    classes = common.materialize(sketches.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-    placed = classes.select("rep", F.posexplode("bands").alias("band", "part"))
-    shared = placed.groupBy("band", "part").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    rows = _keyed(documents)
+    first = F.min(F.struct("doc_id", "key")).alias("first")
+    classes = _sketches(rows, words).groupBy("node").agg(first, F.first("bands").alias("bands"))
+    classes = common.materialize(classes.select("node", "first.doc_id", "first.key", "bands"))
+    placed = classes.select("node", F.posexplode("bands").alias("band", "part"))
+    heads = F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(i)), "node"))["node"] for i in range(HEADS)])
+    shared = placed.groupBy("band", "part").agg(F.count("*").alias("n"), heads.alias("heads")).filter("n > 1")
     buckets = common.materialize(placed.join(shared.hint("merge"), ["band", "part"]))
-    meeting = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    sets = common.materialize(_shingle_sets(documents.select("doc_id", "text").join(meeting.hint("merge"), "doc_id", "left_semi"), words))
+    meeting = classes.select("doc_id", "key", "node").join(buckets.select("node").distinct().hint("merge"), "node", "left_semi")
+    texts = rows.join(meeting.hint("merge"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
+    sets = common.materialize(_shingle_sets(texts, words))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a, b = (sets.select(F.col("rep").alias(end), F.col("values").alias(f"{end}_values")) for end in ("src", "dst"))
+        a, b = (sets.select(F.col("node").alias(end), F.col("values").alias(f"{end}_values")) for end in ("src", "dst"))
         both = pairs.distinct().join(a.hint("merge"), "src").join(b.hint("merge"), "dst")
         common_ = F.size(F.array_intersect("src_values", "dst_values"))
         union = F.size("src_values") + F.size("dst_values") - common_
         return common.materialize(both.filter(common_ / union >= similarity).select("src", "dst"))
 
-    edges = components = None
-    for turn in range(STARS + 1):
-        now = buckets.withColumn("component", F.col("rep"))
-        if components is not None:
-            now = buckets.join(components.hint("merge"), F.col("rep") == F.col("node"), "left").select("band", "part", "rep", F.coalesce("component", "rep").alias("component"))
-        if turn < STARS:
-            order = F.struct(F.xxhash64("component", F.lit(turn)), F.xxhash64("rep", F.lit(turn)), "rep", "component")
-            head = now.groupBy("band", "part").agg(F.min(order).alias("head")).select("band", "part", F.col("head.rep").alias("dst"), F.col("head.component").alias("of"))
-            pairs = now.join(head.hint("merge"), ["band", "part"]).filter("component <> of")
-            pairs = pairs.select(F.greatest("rep", "dst").alias("src"), F.least("rep", "dst").alias("dst"))
-        else:
-            a, b = now.alias("a"), now.alias("b")
-            apart = (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.rep") > F.col("b.rep")) & (F.col("a.component") != F.col("b.component"))
-            pairs = a.hint("merge").join(b, apart).select(F.col("a.rep").alias("src"), F.col("b.rep").alias("dst"))
-        more = verified(pairs)
-        edges = more if edges is None else edges.union(more)
-        components = common.materialize(common.connected_components(edges))
-    found = classes.join(components.hint("merge"), F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("component_id"))
-    found = common.materialize(found)
-    return sketches.select("doc_id", "same").join(found.hint("merge"), "same").select("doc_id", "component_id")
+    pairs = buckets.select("node", F.explode("heads").alias("head")).filter("node <> head")
+    edges = verified(pairs.select(F.greatest("node", "head").alias("src"), F.least("node", "head").alias("dst")))
+    components = common.connected_components(edges)
+    # Buckets of two are done.
+    named = components.withColumnRenamed("node", "name")
+    now = buckets.filter(F.col("n") > 2).join(named.hint("merge"), F.col("node") == F.col("name"), "left").select("band", "part", "node", F.coalesce("component", "node").alias("component"))
+    a, b = now.alias("a"), now.alias("b")
+    apart = (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
+    more = verified(a.hint("merge").join(b, apart).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")))
+    if not more.isEmpty():
+        named = common.connected_components(edges.union(more)).withColumnRenamed("node", "name")
+    return classes.join(named.hint("merge"), F.col("node") == F.col("name"), "left").select("node", "doc_id", "key", F.coalesce("component", "node").alias("component"))
 
 
 def keep_first(documents: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """The document with the smallest id of each component of similar documents, with all columns; rows without an id stay."""
-    found = similar_components(documents, similarity, words)
-    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = documents.join(keep.hint("merge"), "doc_id", "left_semi").select(documents.columns)
+    """One row of each component of similar documents, with all columns.
+
+    It is the row with the smallest id, of equal ids the one with the smallest text hash, and of repeated rows any one. Null and empty texts are alike
+    and link with each other. Rows without an id stay, all of them. An empty table gives no rows.
+    """
+    id_, key = (next(n for n in (f"{name}{'_' * i}" for i in range(len(documents.columns) + 1)) if n not in documents.columns) for name in ("keep_id", "keep_key"))
+    found = similar_classes(documents, similarity, words).groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    keep = common.materialize(found.select(F.col("first.doc_id").alias(id_), F.col("first.key").alias(key)))
+    named = documents.filter("doc_id is not null").withColumn(key, F.xxhash64("text")).withColumn(id_, F.col("doc_id"))
+    named = named.join(keep.hint("merge"), [id_, key], "left_semi").dropDuplicates([id_, key]).select(documents.columns)
     return named.unionByName(documents.filter("doc_id is null"))
