@@ -1,7 +1,9 @@
+import dataclasses
 import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -83,11 +85,52 @@ def test_page_without_article_element():
     assert html_extract.main_text(page) == "Title First é paragraph with a link in it, and more. Second one. a b"
 
 
+PARAGRAPHS = "<p>First long paragraph, with commas, and words that go on for a while. More of it, too.</p>" * 3
+PLAIN = " ".join(["First long paragraph, with commas, and words that go on for a while. More of it, too."] * 3)
+
+
+@pytest.mark.parametrize(
+    ("inside", "text"),
+    [
+        ("<p><a href=y>A fully linked sentence of the article.</a></p>", " A fully linked sentence of the article."),
+        ("<div class='related-work'><h2>Related work</h2><p>Others did it before us, as is known, and wrote it down. They did.</p></div>", " Related work Others did it before us, as is known, and wrote it down. They did."),
+        ("<ul><li>one<li>two</ul>", " one two"),
+        ("<ul><li><a href=a>Home</a><li><a href=b>News</a><li><a href=c>About</a></ul>", ""),
+        ("<div class=comments><p>Great post, really, thanks a lot! " + "Long words, more of them. " * 60 + "</p></div>", ""),
+        ("<div class='ad'>Buy now.</div><form><p>Your name, please.</p></form><div hidden>Not seen, ever.</div>", ""),
+        ("<div class='share'><a href=x>Tweet</a> <a href=y>Post</a></div>", ""),
+    ],
+)
+@pytest.mark.parametrize("element", ["article", "div"])
+def test_inside_an_article(element, inside, text):
+    page = f"<html><body><nav><a href=x>Home</a></nav><{element}><h1>Title here</h1>{PARAGRAPHS}{inside}</{element}><div class=sidebar><p>Aside, of no use.</p></div><footer>The end.</footer></body></html>"
+    assert html_extract.main_text(page) == "Title here " + PLAIN + text
+
+
+def test_path_ratios_decide(spark, sf_dir, monkeypatch):
+    """Without names and semantic tags most pages keep their text, and with constant ratios hardly any does."""
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    texts = [html_extract.main_text(p) for p in pages]
+    bare = [re.sub(r"<(/?)(nav|article|footer)>", r"<\1div>", re.sub(r' class="[^"]*"', "", p)) for p in pages]
+    assert sum(html_extract.main_text(p) == t for p, t in zip(bare, texts, strict=True)) > 0.8 * len(pages)
+    ratios = html_extract.path_ratios
+    monkeypatch.setattr(html_extract, "path_ratios", lambda page: dataclasses.replace(ratios(page), weight=np.ones(len(page.texts))))
+    assert sum(html_extract.main_text(p) == t for p, t in zip(pages, texts, strict=True)) < 0.1 * len(pages)
+
+
+def test_deep_pages_take_time_in_proportion():
+    began = time.perf_counter()
+    assert html_extract.main_text("<div>" * 50_000 + "x" + "</div>" * 50_000) == "x"
+    assert html_extract.main_text("<p>" + "<span>x" * 50_000) == "x" * 50_000
+    assert time.perf_counter() - began < 10
+
+
 def test_awkward_pages(spark):
     rows = [(1, None, None, "x"), (2, "u", "", "x"), (2, "u", "<p>a &lt; b", "x"), (None, "u", "no markup & text", "x"), (3, "u", "<script>var a = '<p>x</p>'</script>", "x"), (4, "u", "<p>" + "word " * 50_000, "x")]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert [(r["page_id"], r["text"][:20]) for r in got] == [(1, ""), (2, ""), (2, "a < b"), (None, "no markup & text"), (3, ""), (4, "word word word word ")]
     assert got[5]["n_chars"] == 50_000 * 5 - 1
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 # Secrets -------------------------------------------------------------------------------------------------------------
