@@ -6,13 +6,12 @@ costs an escape and is coded in the context one byte shorter, without the bytes
 uniform code over what is left of the 256 bytes. Statistics are frozen after training, so a byte's exact cost in
 a language depends on itself and the three bytes before it. The language with the shortest code for the whole text wins.
 
-Training counts come from all labelled rows that may be learned from, summed on the executors. A tree keeps its ``max_grams`` most
-frequent paths (a bound on the model that is sent to executors); what it leaves out is coded by escapes.
+The classifier is fitted on a bounded sample of the labelled rows that may be learned from: at most about ``max_rows`` of a language, chosen by a hash of the
+row. Over these rows the counts are exact and the trees complete; nothing else is left out.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,10 +24,9 @@ from moraine.llm import common
 
 ORDER = 3
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 #: Texts are scored in stretches of this many bytes, which carry their context over.
 _STRETCH = 1 << 20
-_SLOTS_LOG = 19
+_SAMPLE_LOG = 30
 
 
 def grams(data: bytes, before: bytes = b"\n" * ORDER) -> np.ndarray:
@@ -109,12 +107,12 @@ class Scorer:
         costs = np.stack([t.bits(paths) for t in self.trees] or [np.zeros(len(paths))], axis=1).astype(np.float32)
         # One probe: of paths that share a slot the table has one; the others are looked up in the sorted array.
         self.paths, self.costs = paths, costs
-        self.slots = np.zeros(1 << _SLOTS_LOG, np.int32)
+        self.log = min(max(16, len(paths).bit_length() + 1), 24)
+        self.slots = np.zeros(1 << self.log, np.int32)
         self.slots[self._slot(paths)] = np.arange(len(paths), dtype=np.int32)
 
-    @staticmethod
-    def _slot(path: np.ndarray) -> np.ndarray:
-        return (path * np.uint32(2654435761)) >> np.uint32(32 - _SLOTS_LOG)
+    def _slot(self, path: np.ndarray) -> np.ndarray:
+        return (path * np.uint32(2654435761)) >> np.uint32(32 - self.log)
 
     def bits(self, text: str) -> np.ndarray:
         """Code length of the whole text in each language."""
@@ -139,7 +137,7 @@ class Scorer:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and posterior share at a tenth of the code lengths' weight, as neighbouring bytes are far from independent."""
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0
         bits = self.bits(text)
         best = int(bits.argmin())
@@ -147,13 +145,20 @@ class Scorer:
         return self.languages[best], float(share)
 
 
-def train(documents: DataFrame, max_grams: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 3, held_out: int = 1) -> Model:
+def train(documents: DataFrame, max_rows: int = 50_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 3, held_out: int = 1) -> Model:
     """Learn from texts with a language whose id's crc32 remainder is not ``held_out``.
 
-    Counts are over all these texts; a tree keeps the ``max_grams`` most frequent of them.
+    Of a language with more than ``max_rows`` such rows as large a share is taken, by a hash of id and text. Rows without an id may be learned from; null texts and null
+    languages are left out; repeated rows count as often as they are chosen. An empty table gives a model without languages.
     """
-    usable = documents.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    usable = usable.filter(F.coalesce(common.crc_remainder(F.col(id_col), modulus) != held_out, F.lit(True)))
+    usable = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
+    usable = usable.filter(F.coalesce(common.crc_remainder(F.col("doc_id"), modulus) != held_out, F.lit(True)))
+    sizes = {row["lang"]: row["n"] for row in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    languages = sorted(sizes)
+    if any(n > max_rows for n in sizes.values()):
+        place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << _SAMPLE_LOG))
+        shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int((1 << _SAMPLE_LOG) * min(1.0, max_rows / n)))])
+        usable = usable.filter(place < shares[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -184,15 +189,12 @@ def train(documents: DataFrame, max_grams: int = 1 << 18, id_col: str = "doc_id"
                 part = path[at : at + 10_000]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part.astype(np.int64)), pa.array(n[at : at + 10_000].astype(np.int64))], names=["lang", "path", "n"])
 
-    counted = usable.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(count, "lang string, path long, n long")
-    totals = common.materialize(counted.groupBy("lang", "path").agg(F.sum("n").alias("n")))
-    languages = sorted(r["lang"] for r in totals.select("lang").distinct().collect())
-    paths, counts = [], []
-    for lang in languages:
-        kept = totals.filter(F.col("lang") == lang).orderBy(F.col("n").desc(), "path").limit(max_grams).select("path", "n").toPandas()
-        paths.append(kept["path"].to_numpy(np.uint32))
-        counts.append(kept["n"].to_numpy(np.int64))
-    return Model(languages, paths, counts)
+    counted = usable.select("text", "lang").mapInArrow(count, "lang string, path long, n long")
+    number = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")).cast("int") if languages else F.lit(0)
+    totals = counted.groupBy("lang", "path").agg(F.sum("n").alias("n")).select(number.alias("lang"), "path", "n").toArrow()  # the paths of max_rows rows a language
+    lang, path, n = (totals.column(i).to_numpy() for i in range(3))
+    of = [np.flatnonzero(lang == i + 1) for i in range(len(languages))]
+    return Model(languages, [path[x].astype(np.uint32) for x in of], [n[x].astype(np.int64) for x in of])
 
 
 def predict(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,7 +204,7 @@ def predict(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col
     row; further columns are ignored.
     """
     kind = documents.schema[id_col].dataType.simpleString()
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # max_grams paths a language
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # the paths of max_rows rows a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value.scorer()
