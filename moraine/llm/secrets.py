@@ -3,17 +3,20 @@
 A candidate is a run of key characters of at least 20 with letters and digits. Its encoding is inferred
 from its characters (hexadecimal, base32, base62, base64). Against the encoding's alphabet three tests
 ask whether it may be random: chi-squared uniformity of the characters, runs above and below the middle of
-the alphabet, and serial correlation of neighbouring characters. A candidate that fails one is not a secret.
-Those that pass have, by length, a probability that text would look like this: for wide alphabets by the
+the alphabet, and serial correlation of neighbouring characters. Their probabilities under randomness, combined with a Bonferroni
+correction over the tests and over the stretches of a long candidate, go through Benjamini-Hochberg control over all
+candidates of all documents: only as many random ones are given up as the rate allows, however long they are.
+The other way about, a candidate has, by length, a probability that text would show its chi-squared value: for wide alphabets by the
 number of coinciding character pairs, which in words is far above that of random characters; for hexadecimal by the share
-of letters that words would put outside a-f. Over all candidates of all documents these probabilities go through
-Benjamini-Hochberg control of the false discovery rate, so short tokens need stronger evidence.
+of letters that words would put outside a-f. These probabilities are corrected and controlled alike, so short tokens need stronger evidence. A candidate
+whose randomness is not rejected and whose being text is rejected is a secret.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from moraine.llm import common
 
@@ -34,7 +37,7 @@ BASE64 = BASE62 + "+/"
 #: Chance that two characters of words coincide, and that a letter of words is one of a-f.
 TEXT_COINCIDENCE = 0.066
 TEXT_A_TO_F = 0.30
-#: Longest stretch that the statistics of one candidate take in; longer candidates are judged stretch by stretch.
+#: Longest stretch that the statistics of one candidate take in; longer candidates are cut to stretches of nearly equal length, which are judged together.
 STRETCH = 512
 BINS_PER_DECADE = 20
 MOST_DECADES = 20
@@ -103,6 +106,16 @@ def _p_values(candidates: DataFrame) -> DataFrame:
     return df.select(*candidates.columns, "p_random", "p_text")
 
 
+def rejected_from(counts: dict[int, int], rate: float) -> int:
+    """Benjamini-Hochberg over binned probabilities: the lowest bin that is rejected (above all bins if none is)."""
+    tested, so_far, least = sum(counts.values()), 0, MOST_DECADES * BINS_PER_DECADE + 1
+    for place, n in sorted(counts.items(), reverse=True):
+        so_far += n
+        if 10.0 ** (-place / BINS_PER_DECADE) <= rate * so_far / tested:
+            least = place
+    return least
+
+
 def scan(
     documents: DataFrame,
     alpha: float = 0.01,
@@ -112,8 +125,8 @@ def scan(
 ) -> DataFrame:
     """(doc_id, key, base, added) of every document: arrays of (start, kind number, end) spans in code points, sorted; key hashes id and text.
 
-    Null texts count as empty and have no spans. ``base`` has the pattern matches; ``added`` the candidates that pass the battery at
-    ``alpha`` and the false discovery control at ``rate`` and touch no base span. Repeated rows each give a row. Further columns are ignored.
+    Null texts count as empty and have no spans. ``base`` has the pattern matches; ``added`` the candidates not half of which a base span covers, whose randomness
+    is not rejected at the rate ``alpha`` and whose being text is rejected at ``rate``. Repeated rows each give a row, and all of their candidates count in the control. Further columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = documents.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.monotonically_increasing_id().alias("row"))
@@ -135,23 +148,23 @@ def scan(
     mixed = "m3[i] rlike '[0-9]' and m3[i] rlike '[A-Za-z]'"
     tokens = F.when(F.size("m3") > 0, F.expr(f"filter(transform(sequence(0, size(m3) - 1), i -> IF({mixed}, struct(s3[2 * i] AS start, s3[2 * i + 1] AS end, m3[i] AS token), null)), x -> x is not null)"))
     df = df.select("row", "key", "doc_id", base.alias("base"), tokens.alias("tokens"))
-    # A candidate that touches a base span adds nothing.
-    apart = F.expr("filter(tokens, t -> not exists(base, b -> b.start < t.end and t.start < b.end))")
+    # A candidate half of which a base span covers adds nothing.
+    apart = F.expr("filter(tokens, t -> not exists(base, b -> 2 * (least(b.end, t.end) - greatest(b.start, t.start)) >= t.end - t.start))")
     df = common.materialize(df.select("row", "key", "doc_id", "base", apart.alias("tokens")))
 
     judged = df.filter(F.size("tokens") > 0).select("row", F.explode("tokens").alias("t"))
-    judged = judged.select("row", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.expr(f"explode(transform(sequence(0, int((length(t.token) - 1) / {STRETCH})), i -> substring(t.token, i * {STRETCH} + 1, {STRETCH})))").alias("token"))
-    judged = _p_values(judged.filter(F.length("token") >= 8)).groupBy("row", "start", "end")
-    judged = judged.agg(F.min("p_random").alias("p_random"), F.min("p_text").alias("p_text"))
-    place = F.least(F.floor(-F.log10(F.greatest("p_text", F.lit(1e-300))) * BINS_PER_DECADE), F.lit(MOST_DECADES * BINS_PER_DECADE)).cast("int")
-    judged = common.materialize(judged.withColumn("bin", place))
-    counts = sorted(((r["bin"], r["n"]) for r in judged.groupBy("bin").agg(F.count("*").alias("n")).collect()), reverse=True)  # 401 rows at most
-    tested, so_far, least_bin = sum(n for _, n in counts), 0, MOST_DECADES * BINS_PER_DECADE + 1
-    for place, n in counts:
-        so_far += n
-        if 10.0 ** (-place / BINS_PER_DECADE) <= rate * so_far / tested:
-            least_bin = place
-    chosen = judged.filter((F.col("p_random") >= alpha) & (F.col("bin") >= least_bin))
+    pieces = f"int((length(t.token) - 1) / {STRETCH}) + 1"
+    cut = f"explode(transform(sequence(1, {pieces}), i -> substring(t.token, int((i - 1) * length(t.token) / ({pieces})) + 1, int(i * length(t.token) / ({pieces})) - int((i - 1) * length(t.token) / ({pieces})))))"
+    judged = judged.select("row", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.expr(cut).alias("token"))
+    judged = _p_values(judged).groupBy("row", "start", "end")
+    # The least of several probabilities, times their number.
+    judged = judged.agg((F.min("p_random") * F.count("*")).alias("p_random"), (F.min("p_text") * F.count("*")).alias("p_text"))
+    place = lambda p: F.least(F.floor(-F.log10(F.least(F.greatest(p, F.lit(1e-300)), F.lit(1.0))) * BINS_PER_DECADE), F.lit(MOST_DECADES * BINS_PER_DECADE)).cast("int")
+    judged = common.materialize(judged.withColumn("odd", place(F.col("p_random"))).withColumn("bin", place(F.col("p_text"))))
+    which = F.explode(F.array(F.struct(F.lit(0).alias("test"), F.col("odd").alias("bin")), F.struct(F.lit(1).alias("test"), F.col("bin").alias("bin"))))
+    counts = judged.select(which.alias("w")).groupBy("w.test", "w.bin").agg(F.count("*").alias("n")).collect()  # 802 rows at most
+    odd, least_bin = (rejected_from({row["bin"]: row["n"] for row in counts if row["test"] == test}, level) for test, level in ((0, alpha), (1, rate)))
+    chosen = judged.filter((F.col("odd") < odd) & (F.col("bin") >= least_bin))
     chosen = chosen.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end"))).alias("added"))
     return df.join(common.materialize(chosen), "row", "left").select("doc_id", "key", "base", F.coalesce("added", empty).alias("added"))
 
@@ -159,33 +172,29 @@ def scan(
 def redact(documents: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with every found span replaced by ``mark``, all columns and rows kept, and n_chars, if there, counted anew.
 
-    Spans that overlap are replaced together. Rows that share an id may differ in text: the join is on id and a hash of both.
+    Spans that overlap or touch are replaced together. Null and empty texts stay as they are; repeated rows are each redacted; rows that share an id may differ in text: the join is on id
+    and a hash of both. An empty table stays empty.
     """
     spans = scan(documents, id_col=id_col, text_col=text_col)
-    found = spans.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.array_sort(F.concat("base", "added")).alias("__spans")).filter(F.size("__spans") > 0)
-    found = common.materialize(found.groupBy("__key", "__id").agg(F.first("__spans").alias("__spans")))
-    joined_rows = documents.join(found.hint("merge"), (F.xxhash64(F.col(id_col), F.col(text_col)) == F.col("__key")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    merged = F.aggregate(
-        "__spans",
-        F.expr("cast(array() as array<struct<start:int,end:int>>)"),
-        lambda out, s: F.when(
-            (F.size(out) > 0) & (F.get(out, F.size(out) - 1)["end"] >= s["start"]),
-            F.concat(
-                F.slice(out, F.lit(1), F.size(out) - 1),
-                F.array(F.struct(F.get(out, F.size(out) - 1)["start"].alias("start"), F.greatest(F.get(out, F.size(out) - 1)["end"], s["end"]).alias("end"))),
-            ),
-        ).otherwise(F.concat(out, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
-    )
-    joined_rows = joined_rows.withColumn("__merged", F.when(F.size("__spans") > 0, merged))
-    # What stands before each span, and after the last.
-    pieces = F.expr(f"transform(sequence(0, size(__merged)), i -> substring({text_col}, IF(i = 0, 0, __merged[i - 1].end) + 1, IF(i = size(__merged), length({text_col}), __merged[i].start) - IF(i = 0, 0, __merged[i - 1].end)))")
-    text = F.when(F.size("__merged") > 0, F.array_join(pieces, mark)).otherwise(F.col(text_col))
-    out = joined_rows.withColumn("__text", text)
+    found = spans.select("doc_id", "key", F.concat("base", "added").alias("spans")).filter(F.size("spans") > 0)
+    found = found.groupBy("key", "doc_id").agg(F.first("spans").alias("spans")).select("key", "doc_id", F.explode("spans").alias("s")).select("key", "doc_id", "s.start", "s.end")
+    # Runs of spans that touch: one begins where all before have ended.
+    own = Window.partitionBy("key", "doc_id").orderBy("start")
+    ended = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("begins", F.when(ended >= F.col("start"), 0).otherwise(1)).withColumn("run", F.sum("begins").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    found = found.groupBy("key", "doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    found = found.groupBy("key", "doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
+    id_, key, runs, changed = common.unused(documents.columns, "id", "key", "runs", "redacted")
+    found = common.materialize(found.select(F.col("doc_id").alias(id_), F.col("key").alias(key), F.col("runs").alias(runs)))
+    rows = documents.join(found.hint("merge"), (F.xxhash64(F.col(id_col), F.col(text_col)) == F.col(key)) & F.col(id_col).eqNullSafe(F.col(id_)), "left")
+    # What stands before each run, and after the last.
+    pieces = F.expr(f"transform(sequence(0, size(`{runs}`)), i -> substring(`{text_col}`, IF(i = 0, 0, `{runs}`[i - 1].end) + 1, IF(i = size(`{runs}`), length(`{text_col}`), `{runs}`[i].start) - IF(i = 0, 0, `{runs}`[i - 1].end)))")
+    rows = rows.withColumn(changed, F.when(F.size(runs) > 0, F.array_join(pieces, mark)).otherwise(F.col(text_col)))
     columns = []
     for c in documents.columns:
-        column = F.col("__text").alias(c) if c == text_col else F.coalesce(F.length("__text").cast(documents.schema[c].dataType), F.col(c)).alias(c) if c == "n_chars" else F.col(c)
+        column = F.col(changed).alias(c) if c == text_col else F.coalesce(F.length(changed).cast(documents.schema[c].dataType), F.col(c)).alias(c) if c == "n_chars" else F.col(c)
         columns.append(column)
-    return out.select(*columns)
+    return rows.select(*columns)
 
 
 #: Names of the kinds by number; the last are spans that the battery adds.

@@ -248,7 +248,7 @@ def keep_first(documents: DataFrame, similarity: float = 0.8, words: int = 5) ->
     It is the row with the smallest id, of equal ids the one with the smallest text hash, and of repeated rows any one. Null and empty texts are alike
     and link with each other. Rows without an id stay, all of them. An empty table gives no rows.
     """
-    id_, key = (next(n for n in (f"{name}{'_' * i}" for i in range(len(documents.columns) + 1)) if n not in documents.columns) for name in ("keep_id", "keep_key"))
+    id_, key = common.unused(documents.columns, "keep_id", "keep_key")
     found = similar_classes(documents, similarity, words).groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("first"))
     keep = common.materialize(found.select(F.col("first.doc_id").alias(id_), F.col("first.key").alias(key)))
     named = documents.filter("doc_id is not null").withColumn(key, F.xxhash64("text")).withColumn(id_, F.col("doc_id"))
