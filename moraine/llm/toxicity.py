@@ -12,9 +12,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +32,16 @@ HOMOGLYPHS = {
 }
 #: Digits and symbols written for letters.
 SUBSTITUTIONS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
-#: Within these (folded) phrases a hit is not an insult.
-EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bag", "clown fish", "clown car", "stupid simple", "disgusting sound", "sore loser award", "scum line", "pond scum")
-#: Known insults, which are in the lexicon even where few labels show them.
-SEEDS = ("trash", "pathetic", "idiot", "disgusting", "worthless", "stupid", "clown", "loser", "scum", "moron", "imbecile", "dumbass", "bastard", "asshole", "bitch", "fuck", "shit", "whore", "retard")
+#: Within these (folded) phrases a hit is not an insult, by default.
+EXCEPTIONS = ("trash can", "trash cans", "clown fish", "pond scum", "female dog", "idiot proof", "bastard sword", "bastard file")
+#: The lexicon where there are too few labels to learn one.
+SEEDS = ("idiot", "moron", "imbecile", "dumbass", "bastard", "asshole", "bitch", "fuck", "fucking", "shit", "whore", "retard", "scum")
+#: Labelled rows of either kind below which nothing is learned.
+LEAST_LABELLED = 8
 
 
 def _folding() -> dict[int, str]:
+    """For text in compatibility decomposition, so that full-width, mathematical and accented letters are plain ones with or without accents after them."""
     table: dict[int, str] = {}
     for point in range(0x250):
         char = chr(point)
@@ -48,8 +53,6 @@ def _folding() -> dict[int, str]:
         table[point] = ""
     for point in range(0x2010, 0x2070):
         table.setdefault(point, " ")
-    for point in range(0xFF01, 0xFF5F):
-        table[point] = table[point - 0xFEE0]
     for looks, plain in HOMOGLYPHS.items():
         table[ord(looks)] = table[ord(looks.upper()) if len(looks.upper()) == 1 else ord(looks)] = plain
     return table
@@ -69,6 +72,8 @@ def fold(text: str | None) -> str:
     """Folded text, its words between single spaces, with a space at both ends."""
     if not text:
         return " "
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text)
     if _HAS_SUBSTITUTE.search(text):
         kept = text.lower()
         if not kept.isascii():
@@ -122,7 +127,10 @@ def features_of(folded: str, automaton) -> tuple[float, float]:
     if not best:
         return 0.0, 0.0
     if voided:
-        best = {at: w for at, w in best.items() if not any(a <= at < b for a, b in voided)}
+        voided.sort()
+        starts, until = [a for a, _ in voided], list(accumulate((b for _, b in voided), max))
+        # The phrases that start at or before a hit reach furthest to ``until``.
+        best = {at: w for at, w in best.items() if not (i := bisect_right(starts, at)) or at >= until[i - 1]}
     total = sum(best.values())
     words = folded.count(" ") - 1
     return 100.0 * total / max(words, 20), math.log1p(total)
@@ -165,13 +173,16 @@ def train(
     """Learn weights and curve from labelled documents whose crc32 remainder is not ``held_out``.
 
     The classifier is fitted on at most ``max_labelled`` labelled rows, those with the lowest hash of the id;
-    counts are summed on the executors. A document labelled twice is toxic if one label says so.
+    counts are summed on the executors. A document labelled twice is toxic if one label says so; null ids and null labels are left out, null texts are empty, and each of repeated rows counts.
+    With fewer than LEAST_LABELLED rows of either label (or empty tables) the lexicon is SEEDS and the curve the default one. Further columns are ignored.
     """
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
     usable = usable.filter(common.crc_remainder(F.col("doc_id"), modulus) != held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = chosen.collect()
-    if not rows:
+    n_toxic = sum(1 for r in rows if r["toxic"])
+    n_clean = len(rows) - n_toxic
+    if min(n_toxic, n_clean) < LEAST_LABELLED:
         return Model({f" {w} ": 5.0 for w in SEEDS})
     sample = documents.sparkSession.createDataFrame(rows, chosen.schema)
     texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # max_labelled rows
@@ -191,16 +202,11 @@ def train(
             names=["entry", "toxic", "clean"],
         )
 
-    n_toxic = sum(1 for r in rows if r["toxic"])
-    n_clean = len(rows) - n_toxic
     weight = F.log((F.col("toxic") + 0.1) / F.lit(n_toxic + 1.0)) - F.log((F.col("clean") + 1.0) / F.lit(n_clean + 1.0))
     counted = texts.mapInArrow(count, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     best = counted.filter(F.col("toxic") >= least_toxic).withColumn("weight", weight).filter(F.col("weight") >= least_weight)
     found = best.orderBy((F.col("weight") * F.col("toxic")).desc(), "entry").limit(max_entries).collect()
-    weights = {r["entry"]: float(r["weight"]) for r in found}
-    for word in SEEDS:
-        weights.setdefault(f" {word} ", 4.0)
-    model = Model(weights)
+    model = Model({r["entry"]: float(r["weight"]) for r in found})
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.matcher()
@@ -233,7 +239,10 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def filter_toxic(documents: DataFrame, model: Model) -> DataFrame:
-    """The documents that are not predicted toxic, with all their columns, in one pass."""
+    """The documents that are not predicted toxic, with all their columns, in one pass.
+
+    Each row is judged by its text alone, so repeated rows go or stay together; null and empty texts stay unless the curve says otherwise; an empty table stays empty.
+    """
     columns = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
