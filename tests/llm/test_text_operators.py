@@ -1,5 +1,6 @@
 import dataclasses
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -53,6 +54,20 @@ def test_code_lengths_are_exact():
         assert scorer.bits(data)[0] == pytest.approx(plain_code_length(texts, data.encode()), rel=1e-5)
 
 
+def test_what_has_no_letter_is_undetermined():
+    path, n = np.unique(langid.grams(b"some words"), return_counts=True)
+    scorer = langid.Model(["x"], [path], [n]).scorer()
+    assert [scorer.predict(t)[0] for t in ("\u00b2\u00bd \u00b2", "\u2167 12 _", "\u0663", "\u00aa", "\u5b57", "a1")] == ["und", "und", "und", "x", "x", "x"]
+
+
+def test_a_bounded_sample_of_labelled_rows(spark):
+    docs = spark.createDataFrame([(i, f"word{i} text", "en" if i % 10 else "de") for i in range(3000)], "doc_id long, text string, lang string")
+    whole, sample = langid.train(docs), langid.train(docs, max_rows=500)
+    share = sum(sample.counts[1]) / sum(whole.counts[1])
+    assert whole.languages == sample.languages == ["de", "en"]
+    assert (sample.counts[0].sum() == whole.counts[0].sum()) and 0.2 < share < 0.36
+
+
 def test_languages(spark, awkward, no_documents, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = queries.op2_ppm(spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
@@ -167,6 +182,67 @@ def test_secrets(spark, awkward, no_documents):
     assert sorted(r["text"] for r in clean.filter("doc_id = 5").collect()) == sorted(r["text"] for r in awkward.filter("doc_id = 5").collect())
 
 
+def plain_battery(token):
+    """The chi-squared, runs and serial-correlation probabilities, and that of text, by plain loops over the stretches."""
+    pieces = (len(token) - 1) // secrets.STRETCH + 1
+    random_, text_ = [], []
+    for i in range(pieces):
+        part = token[i * len(token) // pieces : (i + 1) * len(token) // pieces]
+        upper = re.fullmatch("[0-9a-f]+|[0-9A-F]+", part) is not None
+        body = part.lower() if upper else re.sub("=+$", "", part).translate(str.maketrans("-_=", "+//"))
+        alphabet = secrets.HEX_DIGITS if upper else secrets.BASE32 if re.fullmatch("[A-Z2-7]+", body) else secrets.BASE64 if re.search("[+/]", body) else secrets.BASE62
+        k, n, codes = len(alphabet), len(body), [alphabet.index(c) for c in body]
+        squares = sum(v * v for v in Counter(body).values())
+        tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+        chi = tail((math.cbrt((k / n * squares - n) / (k - 1)) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1))))
+        high = sum(2 * c >= k for c in codes)
+        runs = 1 + sum((2 * a >= k) != (2 * b >= k) for a, b in itertools.pairwise(codes))
+        mean = 1 + 2 * high * (n - high) / n
+        p_runs = 2 * tail(abs(runs - mean) / math.sqrt((mean - 1) * (mean - 2) / (n - 1))) if 2 <= high <= n - 2 else 0.0
+        middle = sum(codes) / n
+        r = sum((a - middle) * (b - middle) for a, b in itertools.pairwise(codes)) / max(sum((c - middle) ** 2 for c in codes), 1e-9)
+        random_.append(min(1.0, 3 * min(chi, p_runs, 2 * tail(abs(r + 1 / n) * math.sqrt(n)))))
+        expected = n * (n - 1) / 2 * secrets.TEXT_COINCIDENCE
+        text_.append(secrets.TEXT_A_TO_F ** len(re.sub("[0-9]", "", body)) if upper else tail((expected - (squares - n) / 2) / math.sqrt(expected)))
+    return pieces * min(random_), pieces * min(text_)
+
+
+def plain_rejected(values, rate):
+    """Benjamini-Hochberg over the binned values: the lowest rejected bin."""
+    bins = [min(int(-math.log10(min(max(v, 1e-300), 1.0)) * 20), 400) for v in values]
+    least = 401
+    for b in set(bins):
+        if 10 ** (-b / 20) <= rate * sum(x >= b for x in bins) / len(bins):
+            least = min(least, b)
+    return bins, least
+
+
+def test_added_spans_against_plain_loops(spark):
+    """Random tokens of any length are found, text is not, and every decision is that of plain loops."""
+    rng = random.Random(8)
+    made = {}
+    for alphabet in (secrets.BASE62, secrets.BASE64, secrets.HEX_DIGITS.upper()):
+        for n, count in ((24, 12), (40, 20), (512, 8), (513, 8), (2000, 6), (50_000, 4)):
+            for _ in range(count):
+                made[len(made)] = "".join(rng.choice(alphabet) for _ in range(n))
+    n_random = len(made)
+    words = "internationalization of donaudampf schifffahrts gesellschaft and file name version release build test data".split()
+    for _ in range(120):
+        made[len(made)] = "-".join(rng.choice(words) for _ in range(rng.randrange(4, 60))) + str(rng.randrange(100))
+    docs = spark.createDataFrame([(i, f"a {t} z") for i, t in made.items()], "doc_id long, text string")
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["added"]] for r in secrets.scan(docs.repartition(4)).collect()}
+    tokens = {i: t for i, t in made.items() if re.search("[0-9]", t) and re.search("[A-Za-z]", t)}
+    covered = {i for i, t in tokens.items() if any(2 * (m.end() - m.start()) >= len(t) for m in re.finditer("[0-9a-f]{24,}", t))}
+    tokens = {i: t for i, t in tokens.items() if i not in covered}
+    p_random, p_text = zip(*map(plain_battery, tokens.values()), strict=True)
+    (odd, most), (bins, least) = plain_rejected(p_random, 0.01), plain_rejected(p_text, 0.001)
+    want = {i for i, a, b in zip(tokens, odd, bins, strict=True) if a < most and b >= least}
+    assert {i for i, x in found.items() if x} == want
+    assert all(found[i] == [(2, 2 + len(made[i]))] for i in want)
+    long = [i for i in range(n_random) if len(made[i]) >= 40]
+    assert len(want & set(long)) >= 0.95 * len(long) and max(want) < n_random
+
+
 # Decontamination -----------------------------------------------------------------------------------------------------
 
 
@@ -289,7 +365,15 @@ def test_awkward_simhash(spark, awkward, no_documents):
 # Toxicity ------------------------------------------------------------------------------------------------------------
 
 
+def test_exception_phrases_take_time_in_proportion():
+    automaton = toxicity.Model({" trash ": 1.0, " idiot ": 2.0}).matcher()
+    began = time.perf_counter()
+    assert toxicity.features_of(toxicity.fold("trash can " * 100_000 + "idiot"), automaton)[1] == pytest.approx(math.log1p(2.0))
+    assert time.perf_counter() - began < 10
+
+
 def test_folding():
+    assert toxicity.fold("\U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d i\u0301diot") == " idiot idiot "
     assert toxicity.fold("You 1D10T!! \u0456di\u043et, ＩＤＩＯＴ") == " you idiot idiot idiot "
     assert toxicity.fold("in 2024, für") == " in 2024 fur " and toxicity.fold(None) == toxicity.fold("") == " "
 
@@ -313,7 +397,9 @@ def test_toxicity(spark, awkward, no_documents):
     model = toxicity.train(awkward, labels)
     assert toxicity.score(awkward, model).count() == 10 and toxicity.score(no_documents, model).count() == 0
     assert toxicity.filter_toxic(awkward, toxicity.Model()).count() == 10
-    assert toxicity.train(no_documents, labels.limit(0)).weights
+    assert toxicity.train(no_documents, labels.limit(0)).weights == model.weights == {f" {w} ": 5.0 for w in toxicity.SEEDS}
+    repeated = awkward.filter("doc_id = 1").withColumn("text", F.lit("you idiot, an idiot"))
+    assert toxicity.filter_toxic(repeated.union(repeated), model).count() == 0 and toxicity.filter_toxic(no_documents, model).columns == awkward.columns
 
 
 # Repeats -------------------------------------------------------------------------------------------------------------
