@@ -12,8 +12,10 @@ occurrences; how far each occurrence extends to the left together with another o
 contexts. Where all extend alike the repeat is not yet maximal and its extension is what counts; where left and right
 together reach ``least`` bytes, the occurrence is covered that far.
 
-Anchors of which very many with different surroundings meet are dealt to tasks as pairs of tiles of bounded size, so every two
-occurrences meet in one task and none holds them all.
+Where more than ``GROUP`` anchors with different surroundings meet, as around a passage that very many documents have between different texts, sorting them in one
+task would not be bounded. There the windows that hold an anchor are taken in ``BANDS`` neighbouring bands; all windows of a band
+share a core of nearly their length, and only where cores are equal as well the windows themselves are hashed and counted. That is linear in
+the anchors, and no task holds more than a group.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from moraine.llm import common
 
 GRAM = 64
-#: Occurrences of one anchor in a tile.
-TILE = 2048
+#: Anchors that meet and are sorted in one task, and bands of windows where there are more.
+GROUP, BANDS = 2048, 8
 _CHUNK_LOG = 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -172,6 +174,38 @@ def extents(lefts: list[bytes], rights: list[bytes], least: int) -> tuple[np.nda
     return far_left, far_right
 
 
+def _bands(side: int, least: int) -> list[tuple[int, int]]:
+    """Least and most bytes before the anchor, of the windows of each band of one side."""
+    behind, most = halves(least)[0], least - GRAM
+    low, high = (0, behind) if side == 0 else (behind + 1, most)
+    edges = [low + (high + 1 - low) * i // BANDS for i in range(BANDS + 1)]
+    return [(a, b - 1) for a, b in zip(edges, edges[1:], strict=False) if a < b]
+
+
+def band_cores(data: bytes, at: int, side: int, least: int) -> list[tuple[int, int]]:
+    """(band, hash) of what all windows of a band have in common, for the bands that have a window; ``at``: the anchor's place.
+
+    Bands are numbered through over both sides.
+    """
+    from xxhash import xxh64_intdigest
+
+    out = []
+    for i, (low, high) in enumerate(_bands(side, least)):
+        if max(low, at + least - len(data)) <= min(high, at):
+            core = xxh64_intdigest(data[at - low : at + least - high], side * BANDS + i)
+            out.append((side * BANDS + i, core - (1 << 64) if core >> 63 else core))
+    return out
+
+
+def band_windows(data: bytes, at: int, band: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes before the anchor, hash) of each window of a band."""
+    from xxhash import xxh64_intdigest
+
+    low, high = _bands(band // BANDS, least)[band % BANDS]
+    left = np.arange(max(low, at + least - len(data)), min(high, at) + 1)
+    return left, np.array([xxh64_intdigest(data[at - n : at - n + least]) for n in left.tolist()], np.uint64)
+
+
 def _identified(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, the text's bytes, and 96 bits that name the row by id and text."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
@@ -223,39 +257,58 @@ def covered(documents: DataFrame, least: int, id_col: str, text_col: str) -> Dat
     several = common.materialize(sided.groupBy("h", "side", "half").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
     wanted = sided.join(several.hint("merge"), ["h", "side", "half"])
     # Anchors that meet are a group under one hash from here on.
-    wanted = wanted.select(F.xxhash64("h", "side", "half").alias("h"), "kinds", "one.a", "one.b", "one.place", F.col("n").alias("copies"))
-    wanted = wanted.groupBy("a", "b").agg(F.collect_list(F.struct("h", "kinds", "place", "copies")).alias("at"))
+    wanted = wanted.select(F.xxhash64("h", "side", "half").alias("h"), "side", (F.col("kinds") > GROUP).alias("many"), "one.a", "one.b", "one.place", F.col("n").alias("copies"))
+    wanted = wanted.groupBy("a", "b").agg(F.collect_list(F.struct("h", "side", "many", "place", "copies")).alias("at"))
     texts = rows.select("a", "b", "bytes").join(common.materialize(wanted).hint("merge"), ["a", "b"])
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What stands before and after each anchor of a group that is sorted; of the others the bands of windows around them, by their cores."""
+        names = context_schema.names
         for batch in batches:
-            out = {k: [] for k in ("h", "kinds", "a", "b", "place", "copies", "before", "after")}
+            out: dict[str, list] = {k: [] for k in names}
             for a, b, data, at in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 for x in at:
                     place = x["place"]
-                    out["h"].append(x["h"])
-                    out["kinds"].append(x["kinds"])
-                    out["copies"].append(x["copies"])
-                    out["a"].append(a)
-                    out["b"].append(b)
-                    out["place"].append(place)
-                    out["before"].append(data[max(0, place - (least - GRAM)) : place][::-1])
-                    out["after"].append(data[place : place + least])
+                    before, after = data[max(0, place - (least - GRAM)) : place], data[place : place + least]
+                    if x["many"]:
+                        found = [(x["h"], band, core) for band, core in band_cores(before + after, len(before), x["side"], least)]
+                    else:
+                        found = [(x["h"], None, None)]
+                    for h, band, core in found:
+                        for name, value in zip(names, (h, band, core, a, b, place, x["copies"], before[::-1], after), strict=True):
+                            out[name].append(value)
                 if len(out["h"]) >= 5000:
                     yield pa.RecordBatch.from_pydict(out, schema=context_schema)
-                    out = {k: [] for k in out}
+                    out = {k: [] for k in names}
             if out["h"]:
                 yield pa.RecordBatch.from_pydict(out, schema=context_schema)
 
-    context_schema = pa.schema([("h", pa.int64()), ("kinds", pa.int64()), ("a", pa.int64()), ("b", pa.int32()), ("place", pa.int32()), ("copies", pa.int64()), ("before", pa.binary()), ("after", pa.binary())])
-    around = texts.mapInArrow(contexts, "h long, kinds long, a long, b int, place int, copies long, before binary, after binary")
-    tiles = F.ceil(F.col("kinds") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("a", "b", "place"), F.col("tiles")).cast("int")
-    dealt = around.withColumn("tiles", tiles).withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "a", "b", "place", "copies", "before", "after")
+    context_schema = pa.schema([("h", pa.int64()), ("band", pa.int32()), ("core", pa.int64()), ("a", pa.int64()), ("b", pa.int32()), ("place", pa.int32()), ("copies", pa.int64()), ("before", pa.binary()), ("after", pa.binary())])
+    around = texts.mapInArrow(contexts, "h long, band int, core long, a long, b int, place int, copies long, before binary, after binary")
+    many = not several.filter(F.col("kinds") > GROUP).isEmpty()
+    around = common.materialize(around) if many else around  # else it is read once
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = dealt.repartition(parts, "h", "i", "j").sortWithinPartitions("h", "i", "j")
+    dealt = around.filter("band is null").select("h", "a", "b", "place", "copies", "before", "after").repartition(parts, "h").sortWithinPartitions("h")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, band, _, a, b, place, copies, before, after = (batch.column(n).to_pylist() for n in range(9))
+            for i in range(batch.num_rows):
+                left, value = band_windows(before[i][::-1] + after[i], len(before[i]), band[i], least)
+                n = len(left)
+                values = [pa.array(np.full(n, h[i])), pa.array(left), pa.array(value.view(np.int64)), pa.array(np.full(n, a[i])), pa.array(np.full(n, b[i], np.int32)), pa.array(np.full(n, place[i], np.int32)), pa.array(np.full(n, copies[i]))]
+                yield pa.RecordBatch.from_arrays(values, names=["h", "left", "value", "a", "b", "place", "copies"])
+
+    # Of very large groups: windows whose cores are equal.
+    def counted() -> DataFrame:
+        cores = around.filter("band is not null")
+        shared = common.materialize(cores.groupBy("h", "band", "core").agg(F.count("*").alias("m")).filter("m > 1").drop("m"))
+        near = cores.join(shared.hint("merge"), ["h", "band", "core"])
+        found_windows = common.materialize(near.mapInArrow(windows, "h long, left long, value long, a long, b int, place int, copies long"))
+        again = found_windows.groupBy("h", "left", "value").agg(F.count("*").alias("m")).filter("m > 1").drop("m")
+        repeated_windows = found_windows.join(again.hint("merge"), ["h", "left", "value"]).filter("copies = 1")  # more than one copy: settled
+        repeated_windows = repeated_windows.groupBy("a", "b", "place").agg(F.max("left").alias("far"), F.min("left").alias("near"))
+        return repeated_windows.select("a", "b", (F.col("place") - F.col("far")).cast("int").alias("start"), (F.col("place") - F.col("near") + least).cast("int").alias("end"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -276,13 +329,11 @@ def covered(documents: DataFrame, least: int, id_col: str, text_col: str) -> Dat
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["a", "b", "start", "end"])
 
         for batch in batches:
-            h, i, j, a, b, place, copies = (batch.column(n).to_pylist() for n in range(7))
-            before, after = batch.column(7).to_pylist(), batch.column(8).to_pylist()
-            for n in range(len(h)):
-                if key != (h[n], i[n], j[n]):
+            for x in zip(*(batch.column(n).to_pylist() for n in range(7)), strict=True):
+                if key != x[0]:
                     close()
-                    key = (h[n], i[n], j[n])
-                group.append((a[n], b[n], place[n], copies[n], before[n], after[n]))
+                    key = x[0]
+                group.append(x[1:])
             if len(out) >= 5000:
                 yield ready()
         close()
@@ -290,7 +341,9 @@ def covered(documents: DataFrame, least: int, id_col: str, text_col: str) -> Dat
             yield ready()
 
     compared = dealt.mapInArrow(compare, "a long, b int, start int, end int")
-    return settled.union(compared).groupBy("a", "b").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    # Rows that repeat id and text have the same spans: a set holds each once.
+    found_spans = settled.union(compared).union(counted()) if many else settled.union(compared)
+    return found_spans.groupBy("a", "b").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -423,8 +423,9 @@ def test_prefix_intervals():
     assert set(repeats.prefix_intervals(np.array(common))) == {(0, 1, 2), (0, 2, 1), (4, 5, 2), (3, 5, 1), (0, 5, 0)}
 
 
-def test_repeats(spark, awkward, no_documents, monkeypatch):
-    monkeypatch.setattr(repeats, "TILE", 7)  # so that anchors meet in pairs of tiles
+@pytest.mark.parametrize("group", [2048, 7, 1])
+def test_repeats(spark, awkward, no_documents, monkeypatch, group):
+    monkeypatch.setattr(repeats, "GROUP", group)  # so that anchors meet in bands of windows
     rng = random.Random(9)
     noise = lambda n: rng.randbytes(n).hex()[:n]
     common, exact, near = noise(700), noise(900), noise(2000)
@@ -440,6 +441,19 @@ def test_repeats(spark, awkward, no_documents, monkeypatch):
     assert len(long["kept"]) == 0 and long["n_bytes"] > 150_000
 
 
+def test_repeats_of_documents(spark, sf_dir):
+    docs = {r["doc_id"]: r["text"].encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    want = dict(zip(docs, plain_removal(list(docs.values()), 400), strict=True))
+    got = {r["doc_id"]: r for r in queries.op9_suffix_intervals(spark, sf_dir).collect()}
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == {i: (len(docs[i]), gone, runs, hashlib.sha256(kept).hexdigest()) for i, (kept, gone, runs) in want.items()}
+
+
+def test_a_row_repeated_very_often(spark):
+    docs = spark.createDataFrame([(1, "many words in one text, " * 30)], "doc_id long, text string").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3000))))
+    spans = repeats.covered(docs, 400, "doc_id", "text").collect()
+    assert len(spans) == 1 and len(spans[0]["spans"]) < 30
+
+
 def test_anchors_across_chunks(monkeypatch):
     rng = random.Random(1)
     data = rng.randbytes(6000)
