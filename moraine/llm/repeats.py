@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from moraine.llm import common
 
 GRAM = 64
-#: Anchors that meet and are sorted in one task, and bands of windows where there are more.
-GROUP, BANDS = 2048, 8
+#: Anchors that meet and are sorted in one task (their surroundings take 24 MB), and bands of windows where there are more.
+GROUP, BANDS = 32_768, 8
 _CHUNK_LOG = 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
