@@ -138,6 +138,9 @@ def near_duplicates(documents: DataFrame, threshold: int = 4, words: int = 4, id
 BANDS, BAND_ROWS = 50, 5
 #: Members of a bucket that all others of it are compared with before the pairs that are still apart are.
 HEADS = 3
+#: Bits of a set's fingerprint, one from each of as many minima, and how many may differ before the sets are compared: in a pair of similarity 0.8 a bit
+#: differs with a chance of 0.1, and more than so many do with one below 5e-7.
+MARKS, MOST_APART = 192, 44
 _ODD, _ADD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -157,17 +160,18 @@ def shingle_values(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in pairs], np.uint64))
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
-    """One key for each band of the min-hash sketch of a set of shingle values."""
+def sketch(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One key for each band of the min-hash sketch of a set of shingle values, and the set's fingerprint (three longs)."""
     low = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(values), 512):
         np.minimum(low, (values[at : at + 512, None] * _ODD + _ADD).min(axis=0), out=low)
+    marks = np.packbits((low[:MARKS] >> np.uint64(20) & np.uint64(1)).astype(np.uint8)).view(np.int64)
     low = low.reshape(BANDS, BAND_ROWS)
-    keys = np.zeros(BANDS, np.uint64)
+    keys = np.arange(BANDS, dtype=np.uint64)  # so that equal keys are of one band
     for i in range(BAND_ROWS):
         keys = (keys ^ low[:, i]) * _MIX
         keys ^= keys >> np.uint64(29)
-    return keys
+    return keys.view(np.int64), marks
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -176,7 +180,7 @@ def _keyed(documents: DataFrame) -> DataFrame:
 
 
 def _sketches(rows: DataFrame, words: int) -> DataFrame:
-    """(doc_id, key, node, bands): ``node`` is equal for equal sets of shingles."""
+    """(doc_id, key, node, bands, size, marks): ``node`` is equal for equal sets of shingles."""
     from hashlib import blake2b
 
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -185,10 +189,18 @@ def _sketches(rows: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             sets = [shingle_values(t, words) for t in batch.column(2).to_pylist()]
             node = np.array([int.from_bytes(blake2b(x.tobytes(), digest_size=8).digest(), "little") for x in sets], np.uint64)
-            bands = pa.array([band_keys(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.view(np.int64)), bands], names=["doc_id", "key", "node", "bands"])
+            sketches = [sketch(x) for x in sets]
+            bands, marks = (pa.array([x[i] for x in sketches], pa.list_(pa.int64())) for i in range(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.view(np.int64)), bands, pa.array([len(x) for x in sets], pa.int32()), marks], names=["doc_id", "key", "node", "bands", "size", "marks"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, key long, node long, bands array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, key long, node long, bands array<long>, size int, marks array<long>")
+
+
+def _may_be_similar(a: str, b: str, similarity: float) -> Column:
+    """Whether two sets' sizes allow the similarity, and their fingerprints are near enough."""
+    size_a, size_b = F.col(f"{a}.size"), F.col(f"{b}.size")
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.m{i}").bitwiseXOR(F.col(f"{b}.m{i}"))) for i in range(MARKS // 64)))
+    return (F.least(size_a, size_b) >= similarity * F.greatest(size_a, size_b)) & (apart <= MOST_APART)
 
 
 def _shingle_sets(rows: DataFrame, words: int) -> DataFrame:
@@ -206,37 +218,47 @@ def similar_classes(documents: DataFrame, similarity: float = 0.8, words: int =
     """(node, doc_id, key, component): a row for each set of shingles, with the smallest id that has it, that id's smallest text key, and its component.
 
     Components are over the pairs whose sets have a Jaccard similarity of ``similarity`` or more. Pairs meet by equal bands of a min-hash sketch and are
-    verified on the exact sets. In a bucket all are first compared with a few of them, then those that are not in one component
+    verified on the exact sets, unless their sizes or fingerprints are too far apart. In a bucket all are first compared with a few of them, then those that are not in one component
     yet are paired; so the components are those of all pairs that meet.
     """
+    if similarity < 0.8:
+        raise ValueError("bands and fingerprints are made for a similarity of 0.8 or more")
     rows = _keyed(documents)
     first = F.min(F.struct("doc_id", "key")).alias("first")
-    classes = _sketches(rows, words).groupBy("node").agg(first, F.first("bands").alias("bands"))
-    classes = common.materialize(classes.select("node", "first.doc_id", "first.key", "bands"))
-    placed = classes.select("node", F.posexplode("bands").alias("band", "part"))
+    of_set = ("bands", "size", "marks")
+    classes = _sketches(rows, words).groupBy("node").agg(first, *[F.first(c).alias(c) for c in of_set])
+    classes = common.materialize(classes.select("node", "first.doc_id", "first.key", "bands", "size", *[F.get("marks", F.lit(i)).alias(f"m{i}") for i in range(MARKS // 64)]))
+    traits = ["node", "size", *[f"m{i}" for i in range(MARKS // 64)]]
+    placed = classes.select("node", F.explode("bands").alias("part"))
     heads = F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(i)), "node"))["node"] for i in range(HEADS)])
-    shared = placed.groupBy("band", "part").agg(F.count("*").alias("n"), heads.alias("heads")).filter("n > 1")
-    buckets = common.materialize(placed.join(shared.hint("merge"), ["band", "part"]))
+    shared = placed.groupBy("part").agg(F.count("*").alias("n"), heads.alias("heads")).filter("n > 1")
+    buckets = common.materialize(placed.join(shared.hint("merge"), "part"))
     meeting = classes.select("doc_id", "key", "node").join(buckets.select("node").distinct().hint("merge"), "node", "left_semi")
     texts = rows.join(meeting.hint("merge"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
     sets = common.materialize(_shingle_sets(texts, words))
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("node").alias(end), F.col("values").alias(f"{end}_values")) for end in ("src", "dst"))
-        both = pairs.distinct().join(a.hint("merge"), "src").join(b.hint("merge"), "dst")
+        both = pairs.join(a.hint("merge"), "src").join(b.hint("merge"), "dst")
         common_ = F.size(F.array_intersect("src_values", "dst_values"))
         union = F.size("src_values") + F.size("dst_values") - common_
         return common.materialize(both.filter(common_ / union >= similarity).select("src", "dst"))
 
-    pairs = buckets.select("node", F.explode("heads").alias("head")).filter("node <> head")
-    edges = verified(pairs.select(F.greatest("node", "head").alias("src"), F.least("node", "head").alias("dst")))
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.greatest("a.node", "b.node").alias("src"), F.least("a.node", "b.node").alias("dst")).distinct()
+
+    pairs = ends(buckets.select("node", F.explode("heads").alias("head")).filter("node <> head").select(F.struct("node").alias("a"), F.struct(F.col("head").alias("node")).alias("b")))
+    a, b = (classes.select(*traits).alias(end) for end in ("a", "b"))
+    near = pairs.join(a.hint("merge"), F.col("src") == F.col("a.node")).join(b.hint("merge"), F.col("dst") == F.col("b.node")).filter(_may_be_similar("a", "b", similarity))
+    edges = verified(near.select("src", "dst"))
     components = common.connected_components(edges)
     # Buckets of two are done.
     named = components.withColumnRenamed("node", "name")
-    now = buckets.filter(F.col("n") > 2).join(named.hint("merge"), F.col("node") == F.col("name"), "left").select("band", "part", "node", F.coalesce("component", "node").alias("component"))
+    known = classes.select(*traits).join(named.hint("merge"), F.col("node") == F.col("name"), "left").select(*traits, F.coalesce("component", "node").alias("component"))
+    now = buckets.filter(F.col("n") > 2).select("part", "node").join(known.hint("merge"), "node")
     a, b = now.alias("a"), now.alias("b")
-    apart = (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
-    more = verified(a.hint("merge").join(b, apart).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")))
+    apart = (F.col("a.part") == F.col("b.part")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & _may_be_similar("a", "b", similarity)
+    more = verified(ends(a.hint("merge").join(b, apart)))
     if not more.isEmpty():
         named = common.connected_components(edges.union(more)).withColumnRenamed("node", "name")
     return classes.join(named.hint("merge"), F.col("node") == F.col("name"), "left").select("node", "doc_id", "key", F.coalesce("component", "node").alias("component"))
