@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Spreads the edges of one vertex over this many join keys.
 SALTS = 16
+#: Edges that one task writes.
+EDGES = 100_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +66,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     def salted(frame: DataFrame) -> DataFrame:
         return frame.withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int"))
 
-    current = materialize(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+    # Edges are two numbers: so many of them make a task, whatever the number of shuffle partitions.
+    tasks = max(8, -(-edges.count() // EDGES))
+    current = materialize(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct().coalesce(tasks))
     seen = None
     for _ in range(max_rounds):
         both = current.select("src", "dst").union(current.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -73,7 +77,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = salted(large).join(_lowest_neighbour(large, SALTS).hint("merge"), ["src", "salt"])
         pairs = F.array(F.struct(F.col("src").alias("src"), F.col("low").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("low").alias("dst")))
         small = down.select(F.explode(pairs).alias("e")).select("e.src", "e.dst").filter("src <> dst").distinct()
-        current = materialize(small)
+        current = materialize(small.coalesce(tasks))
         mark = current.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if mark == seen:
             break

@@ -134,13 +134,13 @@ def near_duplicates(documents: DataFrame, threshold: int = 4, words: int = 4, id
     return prints.join(mapping.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
-#: Min-hash bands and rows of a band: a pair of similarity 0.8 shares no band with a chance of 3e-9.
-BANDS, BAND_ROWS = 50, 5
+#: Min-hash bands and rows of a band: a pair of similarity 0.8 shares no band with a chance of 4e-8.
+BANDS, BAND_ROWS = 56, 6
 #: Members of a bucket that all others of it are compared with before the pairs that are still apart are.
 HEADS = 3
 #: Bits of a set's fingerprint, one from each of as many minima, and how many may differ before the sets are compared: in a pair of similarity 0.8 a bit
-#: differs with a chance of 0.1, and more than so many do with one below 5e-7.
-MARKS, MOST_APART = 192, 44
+#: differs with a chance of 0.1, and more than so many do with one below 3e-7.
+MARKS, MOST_APART = 320, 64
 _ODD, _ADD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -161,7 +161,7 @@ def shingle_values(text: str | None, words: int = 5) -> np.ndarray:
 
 
 def sketch(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One key for each band of the min-hash sketch of a set of shingle values, and the set's fingerprint (three longs)."""
+    """One key for each band of the min-hash sketch of a set of shingle values, and the set's fingerprint (five longs)."""
     low = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(values), 512):
         np.minimum(low, (values[at : at + 512, None] * _ODD + _ADD).min(axis=0), out=low)
