@@ -40,26 +40,27 @@ def v5_decrypt(password: str, archive_hash: bytes, entry_key: bytes, data: bytes
     return rc4(v5_password_key(password) + entry_key, data)
 
 
-# The classic format's cipher: sixteen Feistel rounds over eight substitution boxes of 64 entries, which are
-# those of the Data Encryption Standard (FIPS 46-3, in its order) and come as a parameter.
-#: For each round and part, the key nibbles whose upper and lower bits make it up, relative to the round.
-_UPPER_PARTS = ((0, 13), (11, 6), (3, 10), (8, 1))
-_LOWER_PARTS = ((9, 0), (2, 11), (14, 3), (5, 8))
-#: The bits, from the lowest of a box's result, that the standard's permutation spreads them to.
-_SPREAD = (
-    (1, 25, 19, 11), (20, 4, 30, 15), (8, 0, 18, 26), (3, 12, 22, 28),
-    (5, 27, 16, 10), (21, 13, 31, 6), (9, 24, 14, 2), (23, 17, 29, 7),
+# The classic format's block cipher is the Data Encryption Standard (FIPS 46-3) without its initial and final permutation and with a key
+# schedule of its own: a round's 48 key bits are twelve of the key's sixteen hexadecimal digits. Bits are numbered as the
+# standard prints them, from 1 at the left.
+#: The standard's permutation P of what the boxes give.
+PERMUTATION = (
+    16, 7, 20, 21, 29, 12, 28, 17, 1, 15, 23, 26, 5, 18, 31, 10,
+    2, 8, 24, 14, 32, 27, 3, 9, 19, 13, 30, 6, 22, 11, 4, 25,
 )
+#: The digits of the key that make up a round's key, counted from the digit with the round's number.
+KEY_DIGITS = (1, 8, 5, 10, 3, 14, 6, 11, 2, 13, 0, 9)
+#: Fixed value: the key and the first chain value of the password's hash.
 _SEED = bytes.fromhex("0123456789abcdef")
-_M32 = 0xFFFFFFFF
+_ROUNDS = 16
 
 
 def _rotate(x: int, n: int) -> int:
-    return (x >> n | x << 32 - n) & _M32
+    return (x >> n | x << 32 - n) & 0xFFFFFFFF
 
 
-def _reverse(x: int, n: int) -> int:
-    return int(f"{x:0{n}b}"[::-1], 2)
+def _xor(a: bytes, b: bytes) -> bytes:
+    return bytes(x ^ y for x, y in zip(a, b, strict=True))
 
 
 class ClassicCipher:
@@ -68,66 +69,59 @@ class ClassicCipher:
     def __init__(self, boxes: Sequence[Sequence[int]]):
         if len(boxes) != 8 or any(len(b) != 64 for b in boxes):
             raise ValueError("eight boxes of 64 entries")
-        # A box's result at its place in the word, by the six bits as they stand in the (mirrored) word.
-        self.spread = []
-        for box, places in zip(boxes, _SPREAD, strict=True):
-            results = []
-            for bits in range(64):
-                x = _reverse(bits, 6)
-                value = box[(x >> 4 & 2 | x & 1) * 16 + (x >> 1 & 15)]
-                results.append(sum(1 << place for i, place in enumerate(places) if value >> i & 1))
-            self.spread.append(results)
-
-    def _round_keys(self, key: bytes) -> list[tuple[int, int]]:
-        digits = [int(c, 16) for c in key.hex()]
-        keys = []
-        for i in range(16):
-            at = lambda n, i=i: digits[(i + n) % 16]
-            upper = sum((at(a) >> 2 | at(b) << 2) << 8 * n for n, (a, b) in enumerate(_UPPER_PARTS))
-            lower = sum(((at(a) | at(b) << 4) & 63) << 8 * n for n, (a, b) in enumerate(_LOWER_PARTS))
-            keys.append((_reverse(upper, 32), _reverse(lower, 32)))
-        return keys
-
-    def _mixed(self, half: int, key: tuple[int, int]) -> int:
-        even, odd = half ^ key[0], _rotate(half, 4) ^ key[1]
-        out = 0
-        for n in range(4):
-            out ^= self.spread[2 * n][even >> 8 * n + 2 & 63] ^ self.spread[2 * n + 1][odd >> 8 * n + 2 & 63]
-        return out
+        # What each six bits that enter a box add to the permuted word: the outer two choose the row.
+        target = {source: place for place, source in enumerate(PERMUTATION, 1)}
+        self.words = [
+            [sum(1 << 32 - target[4 * n + k + 1] for k in range(4) if box[(six >> 4 & 2 | six & 1) * 16 + (six >> 1 & 15)] >> 3 - k & 1) for six in range(64)]
+            for n, box in enumerate(boxes)
+        ]
 
     def block(self, key: bytes, block: bytes, encrypt: bool) -> bytes:
-        a, b = (_rotate(_reverse(int.from_bytes(block[i : i + 4], "big"), 32), 29) for i in (0, 4))
-        keys = self._round_keys(key)
-        for round_key in keys if encrypt else reversed(keys):
-            a, b = b, a ^ self._mixed(b, round_key)
-        # After an even number of rounds a is the half that came first; the result has the halves exchanged.
-        return b"".join(_reverse(_rotate(x, 3), 32).to_bytes(4, "big") for x in (b, a))
+        """One block of eight bytes; decryption takes the rounds' keys the other way round."""
+        digits = key.hex()
+        order = range(_ROUNDS) if encrypt else range(_ROUNDS - 1, -1, -1)
+        left, right = int.from_bytes(block[:4], "big"), int.from_bytes(block[4:], "big")
+        for n in order:
+            round_key = int("".join(digits[(n + d) % 16] for d in KEY_DIGITS), 16)
+            # The expansion: every four bits with the one before and the one after.
+            ring = (right & 1) << 33 | right << 1 | right >> 31
+            mixed = 0
+            for at, words in enumerate(self.words):
+                mixed |= words[(ring >> 28 - 4 * at ^ round_key >> 42 - 6 * at) & 63]
+            left, right = right, left ^ mixed
+        return right.to_bytes(4, "big") + left.to_bytes(4, "big")
 
     def archive_key(self, password: bytes) -> bytes:
-        key = _SEED
+        """The chained hash of the password, eight of its (seven-bit) characters at a time."""
+        chain = _SEED
         for at in range(0, max(len(password), 1), 8):
-            part = password[at : at + 8].ljust(8, b"\0")
-            key = self.block(_SEED, bytes(k ^ p & 0x7F for k, p in zip(key, part, strict=True)), True)
-        return key
+            letters = bytes(c & 0x7F for c in password[at : at + 8])
+            chain = self.block(_SEED, _xor(chain, letters.ljust(8, b"\0")), True)
+        return chain
 
     def file_key(self, password: bytes, mkey: bytes, entry_key: bytes) -> bytes | None:
         """Key and start of the stream of one member, or None for a wrong password."""
         key = self.archive_key(password)
-        start = self.block(key, mkey, False)
-        if self.block(key, start[:4] + b"\0\0\0\4", True)[4:] != start[4:]:
+        master = self.block(key, mkey, False)
+        # Half of the master key is a check value over the other half.
+        if self.block(key, master[:4] + (4).to_bytes(4, "big"), True)[4:] != master[4:]:
             return None
-        own = bytes(a ^ b for a, b in zip(self.block(key, entry_key[:8], False), start, strict=True))
-        return own + self.block(own, entry_key[8:16], False)
+        first = _xor(self.block(key, entry_key[:8], False), master)
+        return first + self.block(first, entry_key[8:16], False)
 
     @staticmethod
     def stream(key: bytes, data: bytes, padding: int) -> bytes:
-        """Plain bytes without the padding."""
+        """Plain bytes without the padding: each block is masked with the fixed half of the key and the running half."""
         if len(data) % 8 or padding > len(data):
             raise BadData("length of the ciphertext")
-        a, b, c, d = (int.from_bytes(key[i : i + 4], "big") for i in (0, 4, 8, 12))
-        out = bytearray()
+        low32 = 0xFFFFFFFF
+        fixed, state = int.from_bytes(key[:8], "big"), int.from_bytes(key[8:16], "big")
+        out = []
         for at in range(0, len(data), 8):
-            left, right = int.from_bytes(data[at : at + 4], "big"), int.from_bytes(data[at + 4 : at + 8], "big")
-            out += (left ^ a ^ c).to_bytes(4, "big") + (right ^ b ^ d).to_bytes(4, "big")
-            c, d = d, _rotate(left ^ right ^ a ^ b ^ d, 1)
-        return bytes(out[: len(out) - padding])
+            cipher = int.from_bytes(data[at : at + 8], "big")
+            plain = cipher ^ fixed ^ state
+            out.append(plain.to_bytes(8, "big"))
+            # The old right half moves to the left; the new one mixes it with the block and the fixed half.
+            both = cipher ^ fixed
+            state = (state & low32) << 32 | _rotate((both >> 32 ^ both ^ state) & low32, 1)
+        return b"".join(out)[: len(data) - padding]

@@ -1,4 +1,4 @@
-"""Fixed values of the formats, as the reference has them (its files of tables for methods 13 and 15, generated from stuffit-rs, MIT or Apache-2.0, and its cipher)."""
+"""Fixed values of the formats: the predefined code sets of method 13, the gaps of method 15, and the boxes of the classic cipher (FIPS 46-3)."""
 
 # fmt: off
 #: Code lengths of the five predefined sets of method 13: first, second, distance.
