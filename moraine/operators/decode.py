@@ -31,6 +31,11 @@ PAYLOAD_FIELDS = [
     T.StructField("crc16_expected", T.IntegerType()),
     T.StructField("crc16_actual", T.IntegerType()),
     T.StructField("status", T.StringType()),
+    T.StructField("file_type", T.BinaryType()),
+    T.StructField("creator", T.BinaryType()),
+    T.StructField("finder_flags", T.IntegerType()),
+    T.StructField("create_time_mac", T.LongType()),
+    T.StructField("modify_time_mac", T.LongType()),
 ]
 
 
@@ -98,26 +103,36 @@ def payloads(
     verify_crc: bool = True,
     normalization: str = "nfc",
     tables: Tables = Tables(),
+    marks: Sequence[str] = (),
 ) -> DataFrame:
-    """One row for each present fork of the selected members, with its payload and status; errors are statuses and never end the job.
+    """One row for each present fork of the selected members, with its payload and status and the member's finder information; errors are statuses and never end the job.
+
+    With "folder" in ``marks`` each folder has a row as well, with "file" each file one after its forks; they hold no payload and ``fork`` says which they are.
+    An archive's rows stand together, in its order.
 
     Selectors, forks and names are applied before anything is decoded. An archive that can't be opened or parsed has one row
     with its status and no member.
     """
     for fork in forks:
         vocab.check_choice("fork", fork, ("data", "resource"))
+    for mark in marks:
+        vocab.check_choice("mark", mark, ("folder", "file"))
     vocab.check_choice("normalization", normalization, vocab.NORMALIZATIONS)
     schema = T.StructType([T.StructField("archive_id", opened.schema["archive_id"].dataType), *PAYLOAD_FIELDS])
     arrow = to_arrow_schema(schema)
 
     def of(archive: object, i: int, entry: Entry, content: bytes) -> Iterator[dict]:
+        finder = {"archive_id": archive, "entry_index": i, "path": entry.path, "file_type": entry.file_type, "creator": entry.creator, "finder_flags": entry.finder_flags, "create_time_mac": entry.create_time_mac, "modify_time_mac": entry.modify_time_mac}
         for name, fork in (("data", entry.data), ("resource", entry.resource)):
-            if name in forks and fork.present:
+            if name in forks and fork.present and not entry.is_dir:
                 status, payload, crc = decode_fork(content, fork, password, verify_crc, tables)
-                yield {
-                    "archive_id": archive, "entry_index": i, "path": entry.path, "fork": name, "method": fork.method, "method_name": vocab.method_name(fork.method, fork.version5), "size": fork.size, "compressed_size": fork.compressed_size,
+                yield finder | {
+                    "fork": name, "method": fork.method, "method_name": vocab.method_name(fork.method, fork.version5), "size": fork.size, "compressed_size": fork.compressed_size,
                     "encrypted": fork.encrypted, "payload": payload, "payload_size": None if payload is None else len(payload), "crc16_expected": fork.crc16, "crc16_actual": crc, "status": status,
                 }
+        mark = "folder" if entry.is_dir else "file"
+        if mark in marks:
+            yield finder | {"fork": mark, "status": vocab.OK}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,11 +142,11 @@ def payloads(
                 if found != vocab.OK:
                     out.append({"archive_id": archive, "status": found})
                 for i, entry in enumerate(entries):
-                    if entry.is_dir or not is_selected(entry.path, selectors):
+                    if not is_selected(entry.path, selectors):
                         continue
                     for row in of(archive, i, entry, content):
                         out.append(row)
-                        held += row["payload_size"] or 0
+                        held += row.get("payload_size") or 0
                     if held > 8 << 20 or len(out) > 2000:
                         yield pa.RecordBatch.from_pylist(out, schema=arrow)
                         out, held = [], 0
@@ -145,4 +160,4 @@ def payloads(
 def manifest(decoded: DataFrame) -> DataFrame:
     """(archive_id, path, size, sha256) of every file that extraction writes with resource forks as ``.rsrc``."""
     path = F.when(F.col("fork") == "resource", F.concat("path", F.lit(".rsrc"))).otherwise(F.col("path"))
-    return decoded.filter("status = 'ok'").select("archive_id", path.alias("path"), F.col("payload_size").alias("size"), F.sha2("payload", 256).alias("sha256"))
+    return decoded.filter("status = 'ok' and fork in ('data', 'resource')").select("archive_id", path.alias("path"), F.col("payload_size").alias("size"), F.sha2("payload", 256).alias("sha256"))

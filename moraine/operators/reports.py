@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +27,7 @@ def entry_json(very_long: bool = False) -> Column:
         F.lit(',"finder":{"type":"'), native.fourcc_json(F.col("file_type")), F.lit('","creator":"'), native.fourcc_json(F.col("creator")), F.lit('","flags":"'), native.crc_text(F.col("finder_flags")), F.lit('"}'),
     ]
     if very_long:
-        parts += [F.lit(',"offsets":{"header":'), F.col("header_offset").cast("string"), F.lit(',"data":'), F.col("data_fork.offset").cast("string"), F.lit(',"rsrc":'), F.col("resource_fork.offset").cast("string"), F.lit("}")]
+        parts += [F.lit(',"offsets":{"header":'), F.col("header_offset").cast("string"), F.lit(',"data":'), F.col("data_fork.offset").cast("string"), F.lit(',"resource":'), F.col("resource_fork.offset").cast("string"), F.lit("}")]
     return F.concat(*parts, F.lit("}"))
 
 
@@ -104,5 +107,53 @@ def bridge_list(entries: DataFrame) -> DataFrame:
     )
 
 
-def exit_code_of(status: Column) -> Column:
-    return vocab.exit_code(status)
+def entry_counts(entries: DataFrame) -> DataFrame:
+    """(archive_id, entry_count): members and folders."""
+    return entries.groupBy("archive_id").agg(F.count("entry_index").alias("entry_count"))
+
+
+def top_folders(entries: DataFrame) -> DataFrame:
+    """(archive_id, folder, files) of every folder at the top."""
+    return folder_sizes(entries).filter("folder <> '' and folder not like '%/%'").select("archive_id", "folder", "files")
+
+
+def without_extensions(entries: DataFrame, extensions: Sequence[str]) -> DataFrame:
+    """The members whose name has none of the extensions (compared in lower case); folders stay."""
+    ends = [F.lower("path").endswith(f".{e.lower().lstrip('.')}") for e in extensions]
+    bad = reduce(lambda a, b: a | b, ends, F.lit(False))
+    return entries.filter(F.col("is_dir") | ~bad)
+
+
+def without_top_folder(manifest: DataFrame) -> DataFrame:
+    """A manifest with the first folder of every path left out, for comparison with one that was made inside of it."""
+    return manifest.withColumn("path", F.regexp_replace("path", "^[^/]*/", ""))
+
+
+def _dump_fork(name: str) -> Column:
+    f = lambda field: F.col(f"{name}.{field}")
+    flag = lambda c: F.when(c, "true").otherwise("false")
+    kind = F.coalesce(f("encryption"), F.lit("none"))
+    padding = F.when(kind == "classic-des", F.concat(F.lit(',"classic_padding":'), f("classic_padding").cast("string"))).otherwise("")
+    return F.concat(
+        F.lit(f'"{name}":{{"present":'), flag(f("present")), F.lit(',"offset":'), f("offset").cast("string"), F.lit(',"size":'), f("size").cast("string"), F.lit(',"compressed_size":'), f("compressed_size").cast("string"),
+        F.lit(',"method":'), f("method").cast("string"), F.lit(',"method_name":"'), f("method_name"), F.lit('","crc16":"'), native.crc_text(f("crc16")), F.lit('","encrypted":'), flag(f("encrypted")), F.lit(',"encryption":"'), kind, F.lit('"'), padding, F.lit("}"),
+    )
+
+
+def dump_json(entries: DataFrame) -> DataFrame:
+    """(archive_id, entry_index, json): everything known of each member."""
+    head = F.concat(
+        F.lit('{"index":'), F.col("entry_index").cast("string"), F.lit(',"path":"'), native.json_text(F.col("path")), F.lit('","kind":"'), F.when(F.col("is_dir"), "directory").otherwise("file"), F.lit('","header_offset":'), F.col("header_offset").cast("string"),
+        F.lit(',"finder":{"type":"'), native.fourcc_json(F.col("file_type")), F.lit('","creator":"'), native.fourcc_json(F.col("creator")), F.lit('","flags":"'), native.crc_text(F.col("finder_flags")),
+        F.lit('"},"mac_time":{"create":'), F.col("create_time_mac").cast("string"), F.lit(',"modify":'), F.col("modify_time_mac").cast("string"), F.lit("},"),
+    )
+    return entries.filter("entry_index is not null").select("archive_id", "entry_index", F.concat(head, _dump_fork("data_fork"), F.lit(","), _dump_fork("resource_fork"), F.lit("}")).alias("json"))
+
+
+def bridge_json(opened: DataFrame, entries: DataFrame) -> DataFrame:
+    """(archive_id, json): what a graphical archive manager identifies an archive as, with the number of its entries."""
+    found = opened.select("archive_id", "status", "wrapper", "format", "supported").join(entry_counts(entries), "archive_id", "left")
+    text = F.concat(
+        F.lit('{"status":"'), "status", F.lit('","wrapper":"'), "wrapper", F.lit('","format":"'), "format", F.lit('","supported":'), F.when(F.col("supported"), "true").otherwise("false"), F.lit(',"entry_count":'), F.coalesce("entry_count", F.lit(0)).cast("string"), F.lit("}"),
+    )
+    return found.select("archive_id", text.alias("json"))

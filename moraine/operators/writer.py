@@ -6,19 +6,20 @@ modify_time (seconds since 1970). Only stored data forks are written.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
-from pyspark.sql.window import Window
+from pyspark.sql.pandas.types import to_arrow_type
 
 from moraine.functions import native
 from moraine.sources.parse import CLASSIC_ENTRY, CLASSIC_HEADER, FOLDER_END, FOLDER_START
 
 #: What members get that name no type and creator.
 DEFAULT_TYPE, DEFAULT_CREATOR = "TEXT", "KAHL"
+#: Place of the content's checksum in a member's header, and the header's length without its own.
+CRC_AT, HEADER = 102, 110
 _M32 = (1 << 32) - 1
 _FIRST, _LAST = "\x01", "\U0010ffff"
 
@@ -37,12 +38,12 @@ def _fourcc(code: Column, default: str) -> Column:
 
 
 def _header(method: Column) -> Column:
-    """112 bytes of a member or a folder's marker."""
+    """The first 110 bytes of a member or a folder's marker, without the content's checksum, which stands at CRC_AT."""
     name = F.encode(F.col("name"), "ISO-8859-1")
     zeros = lambda n: F.unhex(F.lit("00" * n))
     body = F.concat(
         method, method, native.big_endian(F.octet_length(name), 1), name, F.unhex(F.repeat(F.lit("00"), F.lit(63) - F.octet_length(name))),
-        F.col("type_code"), F.col("creator_code"), zeros(2), _u32(F.col("created")), _u32(F.col("modified")), _u32(F.lit(0)), _u32(F.col("size")), _u32(F.lit(0)), _u32(F.col("packed")), zeros(2), _u16(F.col("crc")), zeros(6),
+        F.col("type_code"), F.col("creator_code"), zeros(2), _u32(F.col("created")), _u32(F.col("modified")), _u32(F.lit(0)), _u32(F.col("size")), _u32(F.lit(0)), _u32(F.col("packed")), zeros(10),
     )
     return body
 
@@ -51,8 +52,8 @@ def create(members: DataFrame, default_type: str = DEFAULT_TYPE, default_creator
     """(archive_id, name, content): one classic archive for each archive_id, members in byte order of their names, folders first opened.
 
     Empty paths are left out. Folders follow from the members' paths; a row with null content makes a folder of its own. Times up to 1970 are
-    written as zero. Names are cut to 31 bytes and unusual bytes replaced. An archive is one value, so its members are brought together
-    in one task at the end; archives are built in parallel.
+    written as zero. Names are cut to 31 bytes and unusual bytes replaced. An archive is one value: its members are sorted together and joined as they
+    stream by, so a task holds one archive; archives are built in parallel.
     """
     for code in (default_type, default_creator):
         if len(code.encode("ISO-8859-1")) != 4:
@@ -81,31 +82,50 @@ def create(members: DataFrame, default_type: str = DEFAULT_TYPE, default_creator
     start = F.col("method") == FOLDER_START
     folder_rows = folder_rows.select(
         "archive_id", "path", "method", F.unhex(F.lit("")).alias("content"), code(default_type).alias("type_code"), code(default_creator).alias("creator_code"), zero.alias("created"), zero.alias("modified"),
-        F.when(start, F.col("bytes")).otherwise(zero).alias("size"), F.when(start, F.col("bytes") + CLASSIC_ENTRY).otherwise(zero).alias("packed"), F.lit(0).alias("crc"),
+        F.when(start, F.col("bytes")).otherwise(zero).alias("size"), F.when(start, F.col("bytes") + CLASSIC_ENTRY).otherwise(zero).alias("packed"),
         F.concat(F.replace(F.col("path"), F.lit("/"), F.lit(_FIRST)), F.when(start, F.lit(_FIRST)).otherwise(F.lit(_FIRST + _LAST))).alias("place"),
     )
     file_rows = files.select(
-        "archive_id", "path", F.lit(0).alias("method"), "content", "type_code", "creator_code", "created", "modified", "size", F.col("size").alias("packed"), _payload_crc(F.col("content")).alias("crc"),
+        "archive_id", "path", F.lit(0).alias("method"), "content", "type_code", "creator_code", "created", "modified", "size", F.col("size").alias("packed"),
         F.replace(F.col("path"), F.lit("/"), F.lit(_FIRST)).alias("place"),
     )
     everything = file_rows.unionByName(folder_rows).withColumn("name", native.sanitized_name(native.basename(F.col("path"))))
-    everything = everything.withColumn("header", _header(native.big_endian(F.col("method"), 1)))
-    everything = everything.withColumn("record", F.concat("header", _u16(native.crc16_ibm(F.col("header"))), "content"))
-    sealed = everything.groupBy("archive_id").agg(F.sort_array(F.collect_list(F.struct("place", "record"))).alias("records"))
-    body = F.unhex(F.array_join(F.transform("records", lambda r: F.hex(r["record"])), ""))
-    sealed = sealed.select("archive_id", F.size("records").alias("n"), body.alias("body"))
-    head = F.concat(F.encode(F.lit("SIT!"), "ISO-8859-1"), _u16(F.col("n")), _u32(F.octet_length("body") + CLASSIC_HEADER), F.encode(F.lit("rLau"), "ISO-8859-1"), F.unhex(F.lit("01" + "00" * 7)))
-    return sealed.select("archive_id", F.concat(F.col("archive_id").cast("string"), F.lit(".sit")).alias("name"), F.concat(head, "body").alias("content"))
-
-
-@F.arrow_udf(IntegerType())
-def _payload_crc(values: pa.Array) -> pa.Array:
-    return pa.array([None if v is None else native.crc16_ibm_bytes(v) for v in values.to_pylist()], pa.int32())
-
-
-def members_of(decoded: DataFrame, entries: DataFrame) -> DataFrame:
-    """Member table of decoded archives (data forks and empty folders), for a rewrite."""
-    data = decoded.filter("fork = 'data' and status = 'ok'").select("archive_id", "path", F.col("payload").alias("content"))
+    everything = everything.select("archive_id", "place", _header(native.big_endian(F.col("method"), 1)).alias("header"), "content")
+    kind = members.schema["archive_id"].dataType
+    arrow = pa.schema([("archive_id", to_arrow_type(kind)), ("name", pa.string()), ("content", pa.binary())])
+
+    def seal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records: list[bytes] = []
+        key = None
+
+        def close() -> pa.RecordBatch:
+            size = CLASSIC_HEADER + sum(map(len, records))
+            head = b"SIT!" + min(len(records) // 2, 0xFFFF).to_bytes(2, "big") + min(size, _M32).to_bytes(4, "big") + b"rLau" + bytes([1]) + bytes(7)
+            whole = b"".join([head, *records])
+            records.clear()
+            return pa.RecordBatch.from_pydict({"archive_id": [key], "name": [f"{key}.sit"], "content": [whole]}, schema=arrow)
+
+        for batch in batches:
+            for archive, header, content in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if records and archive != key:
+                    yield close()
+                key = archive
+                header = header[:CRC_AT] + native.crc16_ibm_bytes(content).to_bytes(2, "big") + header[CRC_AT + 2 :]
+                records += (header + native.crc16_ibm_bytes(header).to_bytes(2, "big"), content)
+        if records:
+            yield close()
+
+    return everything.repartition("archive_id").sortWithinPartitions("archive_id", "place").mapInArrow(seal, f"archive_id {kind.simpleString()}, name string, content binary")
+
+
+def members_of(decoded: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """Member table of decoded archives (data forks and folders), for a rewrite.
+
+    Folders come from ``entries``, or from the rows that ``payloads`` has for them with the mark "folder", which spares reading the archives twice.
+    """
+    data = decoded.filter("status = 'ok' and fork in ('data', 'folder')").select("archive_id", "path", F.col("payload").alias("content"))
+    if entries is None:
+        return data
     folders = entries.filter("is_dir").select("archive_id", "path", F.lit(None).cast("binary").alias("content"))
     return data.unionByName(folders)
 
@@ -118,6 +138,13 @@ def writable(entries: DataFrame, opened: DataFrame) -> DataFrame:
     return found.select("archive_id", (F.col("raw") & ~F.coalesce("bad", F.lit(False))).alias("writable"))
 
 
+def require_writable(entries: DataFrame, opened: DataFrame) -> None:
+    """The gate before add and delete: an archive that may not be rewritten is an error."""
+    refused = writable(entries, opened).filter("not writable").select("archive_id").limit(3).collect()
+    if refused:
+        raise ValueError(f"archives that cannot be rewritten, such as {', '.join(str(r[0]) for r in refused)}")
+
+
 def add(members: DataFrame, new: DataFrame, update: bool = False) -> DataFrame:
     """The member table with the new members in place of old ones of the same path.
 
@@ -142,7 +169,51 @@ def delete(members: DataFrame, selectors: Sequence[str]) -> DataFrame:
     return members.filter(~selected(F.col("path"), list(selectors)))
 
 
+def add_counters(members: DataFrame, new: DataFrame, update: bool = False) -> DataFrame:
+    """(archive_id, added, updated, skipped) of what ``add`` would do."""
+    keys = ["archive_id", "path"]
+    times = members.columns
+    old = members.select(*keys, (F.col("modify_time") if "modify_time" in times else F.lit(None).cast("long")).alias("_old"), F.lit(True).alias("_there"))
+    both = new.join(old, keys, "left")
+    kept = F.lit(update) & F.coalesce(F.col("_old") >= F.col("modify_time"), F.lit(False)) if "modify_time" in new.columns else F.lit(False)
+    there = F.coalesce("_there", F.lit(False))
+    return both.groupBy("archive_id").agg(F.count_if(~there).alias("added"), F.count_if(there & ~kept).alias("updated"), F.count_if(there & kept).alias("skipped"))
+
+
+def delete_counters(members: DataFrame, selectors: Sequence[str]) -> DataFrame:
+    """(archive_id, deleted, kept) of what ``delete`` would do."""
+    gone = native.selected(F.col("path"), list(selectors))
+    return members.groupBy("archive_id").agg(F.count_if(gone).alias("deleted"), F.count_if(~gone).alias("kept"))
+
+
+def free_name(path: str, used: set[str], next_: dict[str, int]) -> str:
+    """The path, or with the first of .1, .2 … that no name has; it is in use from then on. ``next_`` keeps where to go on for each path."""
+    name, n = path, next_.get(path, 1)
+    while name in used:
+        name, n = f"{path}.{n}", n + 1
+    next_[path] = n
+    used.add(name)
+    return name
+
+
 def rename_collisions(paths: DataFrame, order: str = "event_idx") -> DataFrame:
-    """Adds ``target``: the path, or with .1, .2 … for further rows of the same path."""
-    n = F.row_number().over(Window.partitionBy("archive_id", "path").orderBy(order)) - 1
-    return paths.withColumn("target", F.when(n > 0, F.concat("path", F.lit("."), n.cast("string"))).otherwise(F.col("path")))
+    """Adds ``target``: the path, or the first of .1, .2 … behind it that no earlier row has.
+
+    Names can only clash with those of the same path without its numbers at the end; the rows of such a family stream by in order.
+    """
+    family = F.regexp_replace("path", r"(\.[0-9]+)+$", "")
+    rows = paths.withColumn("target", family).repartition("archive_id", "target").sortWithinPartitions("archive_id", "target", order)
+    columns = rows.columns
+    at = [columns.index(c) for c in ("archive_id", "target", "path")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, used, next_ = None, set(), {}
+        for batch in batches:
+            names = []
+            for *now, path in zip(*(batch.column(i).to_pylist() for i in at), strict=True):
+                if now != key:
+                    key, used, next_ = now, set(), {}
+                names.append(free_name(path, used, next_))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns) - 1)), pa.array(names, pa.string())], names=columns)
+
+    return rows.mapInArrow(run, rows.schema)
