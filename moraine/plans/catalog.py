@@ -6,6 +6,7 @@ say what listing, decoding and rewriting them must give.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,6 +18,7 @@ from moraine.operators import decode, extract, reports, writer
 from moraine.sources.parse import list_entries
 from moraine.sources.wrappers import open_archives
 from moraine.testing import archives as make
+from moraine.testing import encoders
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +26,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as members: archive is the source, the folder the language."""
+    """The documents as members: archives are the source's, each of at most 2000 documents, the folder is the language."""
     docs = _table(spark, sf_dir, "documents")
     path = F.concat("lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return docs.select(F.col("source").alias("archive_id"), path.alias("path"), F.col("text").cast("binary").alias("content"))
+    return docs.select(_archive(), path.alias("path"), F.col("text").cast("binary").alias("content"))
+
+
+def _archive() -> Column:
+    """The archive of a document: a source may have a third of all, so it has an archive for every 2000 numbers."""
+    return F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 2000).cast("string")).alias("archive_id")
+
+
+def _source() -> Column:
+    return F.regexp_extract("archive_id", "^(.*)-[0-9]+$", 1).alias("source")
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,12 +65,12 @@ def _encoded(spark: SparkSession, sf_dir: str, build: Callable[[int, bytes], byt
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members and bytes by archive, after packing, detection, listing and decoding, with their checksums verified."""
     found = decode.payloads(_packed(spark, sf_dir))
-    return found.filter("status = 'ok'").groupBy(F.col("archive_id").alias("source")).agg(F.count("*").alias("members"), F.sum("payload_size").alias("bytes"))
+    return found.filter("status = 'ok'").groupBy(_source()).agg(F.count("*").alias("members"), F.sum("payload_size").alias("bytes"))
 
 
 def list_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = list_entries(_packed(spark, sf_dir)).filter("not is_dir")
-    return entries.select(F.col("archive_id").alias("source"), _doc_id(F.col("path")).alias("doc_id"), "path", F.col("data_fork.size").alias("size"))
+    return entries.select(_source(), _doc_id(F.col("path")).alias("doc_id"), "path", F.col("data_fork.size").alias("size"))
 
 
 def _round_trip(method: int) -> Callable[[SparkSession, str], DataFrame]:
@@ -76,7 +87,7 @@ def _round_trip(method: int) -> Callable[[SparkSession, str], DataFrame]:
 
 def crc16(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.encode(F.regexp_replace("text", "[^\\x01-\\x7f]", "?"), "UTF-8")
-    return _table(spark, sf_dir, "documents").select("doc_id", native.crc16_ibm(text).cast("long").alias("ibm"), native.crc16_ccitt(text).cast("long").alias("ccitt"))
+    return _table(spark, sf_dir, "documents").select("doc_id", native.crc16_ibm_whole(text).cast("long").alias("ibm"), native.crc16_ccitt_whole(text).cast("long").alias("ccitt"))
 
 
 def _wrapped(i: int, text: bytes) -> bytes:
@@ -98,7 +109,7 @@ def wrapped_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decode.payloads(_packed(spark, sf_dir), selectors=["/de/", "fr", "en/doc_1"])
-    return found.select(F.col("archive_id").alias("source"), "path", "payload_size")
+    return found.select(_source(), "path", "payload_size")
 
 
 def path_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +120,7 @@ def path_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def folder_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = reports.folder_sizes(list_entries(_packed(spark, sf_dir)))
-    return found.select(F.col("archive_id").alias("source"), "folder", "files", "bytes")
+    return found.groupBy(_source(), "folder").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
 
 
 def method_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +129,7 @@ def method_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode.manifest(decode.payloads(_packed(spark, sf_dir))).select(F.col("archive_id").alias("source"), "path", "size", "sha256")
+    return decode.manifest(decode.payloads(_packed(spark, sf_dir))).select(_source(), "path", "size", "sha256")
 
 
 def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,15 +137,14 @@ def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     text = F.when(F.col("doc_id") % 5 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
     path = F.concat("lang", F.lit("/doc_"), F.when(F.col("doc_id") % 5 == 2, F.col("doc_id") + 10_000_000).otherwise(F.col("doc_id")).cast("string"), F.lit(".txt"))
-    expected = docs.select(F.col("source").alias("archive_id"), path.alias("path"), F.octet_length(text).cast("long").alias("size"), F.sha2(text.cast("binary"), 256).alias("sha256"))
+    expected = docs.select(_archive(), path.alias("path"), F.octet_length(text).cast("long").alias("size"), F.sha2(text.cast("binary"), 256).alias("sha256"))
     return reports.compare_manifests(expected, actual).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 def delete_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _packed(spark, sf_dir)
-    kept = writer.delete(writer.members_of(decode.payloads(files), list_entries(files)), ["es", "absent/path"])
+    kept = writer.delete(writer.members_of(decode.payloads(_packed(spark, sf_dir), marks=("folder",))), ["es", "absent/path"])
     again = list_entries(open_archives(writer.create(kept))).filter("not is_dir")
-    return again.select(F.col("archive_id").alias("source"), "path", F.col("data_fork.size").alias("size"))
+    return again.select(_source(), "path", F.col("data_fork.size").alias("size"))
 
 
 def add_update(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +154,7 @@ def add_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = old.filter(_doc_id(F.col("path")) % 50 == 1).withColumn("path", F.concat("path", F.lit(".add")))
     found = writer.add(old, new.unionByName(more), update=True)
     entries = list_entries(open_archives(writer.create(found))).filter("not is_dir")
-    return entries.select(F.col("archive_id").alias("source"), "path", F.col("data_fork.size").alias("size"))
+    return entries.select(_source(), "path", F.col("data_fork.size").alias("size"))
 
 
 def _damaged(i: int, text: bytes) -> bytes:
@@ -219,6 +229,59 @@ def exit_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.exit_histogram(reports.identify(open_archives(_encoded(spark, sf_dir, _wrapped))))
 
 
+def extract_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two members of one name, and one of the name that the second gets; a sidecar of each."""
+    files = _encoded(spark, sf_dir, lambda i, t: make.classic([make.Member("f", t + b"!", b"r"), make.Member("f", b"2", b"r"), make.Member("f.1", b"3")]))
+    events = extract.plan(open_archives(files), forks="rsrc", finder="sidecar", collision="rename")
+    return events.select(F.col("archive_id").alias("doc_id"), "event_idx", "target", F.octet_length(F.when(F.col("output") != "finder", F.col("content"))).cast("long").alias("size"))
+
+
+def extract_unsafe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = open_archives(_encoded(spark, sf_dir, lambda i, t: make.classic([make.Member("a", t + b"!"), make.Member("../b", t + b"!", b"r"), make.Member("c", b"!")])))
+    modes = [extract.counters(extract.plan(files, forks="rsrc", on_error=m)).withColumn("on_error", F.lit(m)) for m in ("continue", "abort")]
+    return modes[0].unionByName(modes[1]).select(F.col("archive_id").alias("doc_id"), "on_error", "extracted_files", "skipped_files", "status", "exit_code")
+
+
+def listing_verylong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = open_archives(_encoded(spark, sf_dir, lambda i, t: make.classic([make.Member("a", t + b"!", b"four"), make.Member("b", b"x")])))
+    found = reports.list_json(files, list_entries(files), very_long=True)
+    return found.select(F.col("archive_id").alias("doc_id"), F.regexp_extract_all("json", F.lit('"offsets":(\\{[^}]*\\})'), F.lit(1)).alias("offsets")).select("doc_id", F.array_join("offsets", ";").alias("offsets"))
+
+
+def dump_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = open_archives(_encoded(spark, sf_dir, lambda i, t: make.classic([make.Member("a", t + b"!", b"four")])))
+    found = reports.dump_json(list_entries(files))
+    return found.select(F.col("archive_id").alias("doc_id"), F.regexp_replace("json", '"crc16":"[0-9a-f]{4}"', '"crc16":"-"').alias("json"))
+
+
+def bridge_identify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = open_archives(_encoded(spark, sf_dir, _wrapped))
+    return reports.bridge_json(files, list_entries(files)).select(F.col("archive_id").alias("doc_id"), "json")
+
+
+def change_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of an update with newer, older and new members, and of a deletion."""
+    old = _members(spark, sf_dir).withColumn("modify_time", _doc_id(F.col("path")))
+    number = _doc_id(F.col("path"))
+    new = old.filter(number % 3 < 2).withColumn("path", F.when(number % 9 == 1, F.concat("path", F.lit(".new"))).otherwise(F.col("path"))).withColumn("modify_time", F.col("modify_time") + F.when(number % 2 == 0, 1).otherwise(0))
+    added = writer.add_counters(old, new, update=True).groupBy(_source()).agg(*[F.sum(c).alias(c) for c in ("added", "updated", "skipped")])
+    gone = writer.delete_counters(old, ["de", "fr/"]).groupBy(_source()).agg(F.sum("deleted").alias("deleted"), F.sum("kept").alias("kept"))
+    return added.join(gone, "source", "full_outer").na.fill(0)
+
+
+def roundtrip_predefined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Method 13 with each of the five predefined sets."""
+    files = _encoded(spark, sf_dir, lambda i, t: make.classic([make.Member(f"doc_{i}.txt", t, method=13, packed=encoders.predefined(t, i % 5 + 1))]))
+    return decode.payloads(open_archives(files)).select(_doc_id(F.col("path")).alias("doc_id"), "status", F.sha2("payload", 256).alias("sha256"))
+
+
+def roundtrip_randomized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Method 15 with randomized blocks."""
+    gaps = decode.Tables().gaps
+    files = _encoded(spark, sf_dir, lambda i, t: make.v5([make.Member(f"doc_{i}.txt", t, method=15, packed=encoders.arsenic(t, gaps=gaps))]))
+    return decode.payloads(open_archives(files)).select(_doc_id(F.col("path")).alias("doc_id"), "status", F.sha2("payload", 256).alias("sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flagship": flagship,
     "list_store": list_store,
@@ -245,6 +308,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "v5_folders": v5_folders,
     "listing_json": listing_json,
     "exit_histogram": exit_histogram,
+    "extract_rename": extract_rename,
+    "extract_unsafe": extract_unsafe,
+    "listing_verylong": listing_verylong,
+    "dump_entry": dump_entry,
+    "bridge_identify": bridge_identify,
+    "change_counters": change_counters,
+    "roundtrip_predefined": roundtrip_predefined,
+    "roundtrip_randomized": roundtrip_randomized,
 }
 
 _PATH = "lang || '/doc_' || doc_id || '.txt'"
@@ -259,14 +330,23 @@ def _crc_sql(text: str, reflected: bool) -> str:
     return f"list_reduce(list_prepend(0::BIGINT, {octets}), lambda c, b: ({step})::BIGINT)"
 
 
-_ASCII_40 = "regexp_replace(substr(text, 1, 40), '[^\\x01-\\x7f]', '?', 'g')"
+_ASCII = "regexp_replace(text, '[^\\x01-\\x7f]', '?', 'g')"
+#: The upper half of MacRoman and its decomposed forms as hexadecimal UTF-8, by Python's codec; one sign is left whole.
+_HIGH = [bytes([i]).decode("mac_roman") for i in range(128, 256)]
+_APART = [(c if c == "\u2260" else unicodedata.normalize("NFD", c)).encode().hex() for c in _HIGH]
+
+
+def _sql_list(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
 _FORK = '{"present":%s,"size":%s,"compressed_size":%s,"method":0,"method_name":"none","crc16":"-","encrypted":false}'
 
 ORACLE_SQL: dict[str, str] = {
     "flagship": "SELECT source, count(*) AS members, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY source",
     "list_store": f"SELECT source, doc_id, {_PATH} AS path, strlen(text) AS size FROM documents",
     **{k: _ROUND_TRIP for k in QUERIES if k.startswith("roundtrip_")},
-    "crc16": f"SELECT doc_id, {_crc_sql(_ASCII_40, True)} AS ibm, {_crc_sql(_ASCII_40, False)} AS ccitt FROM documents",
+    "crc16": f"SELECT doc_id, {_crc_sql(_ASCII, True)} AS ibm, {_crc_sql(_ASCII, False)} AS ccitt FROM documents",
     "identify_wrappers": """
         SELECT k.wrapper, k.format, k.status, k.exit_code, count(*) AS n
         FROM documents JOIN (VALUES (0, 'raw', 'sit-classic', 'ok', 0), (1, 'raw', 'sit5', 'ok', 0), (2, 'macbinary', 'sit-classic', 'ok', 0), (3, 'applesingle', 'sit-classic', 'ok', 0),
@@ -304,10 +384,32 @@ ORACLE_SQL: dict[str, str] = {
         FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS n FROM documents)""",
     "hex_range": "SELECT doc_id, CASE WHEN strlen(t) >= 28 THEN lower(hex(substr(t, 5, 24))) END AS hex FROM (SELECT doc_id, regexp_replace(text, '[^\\x01-\\x7f]', '?', 'g') AS t FROM documents)",
     "mac_times": "SELECT o_orderkey, epoch(o_orderdate)::BIGINT + 2082844800 AS mac, epoch(o_orderdate)::BIGINT AS unix FROM orders",
-    "mac_names": "SELECT doc_id, 'Café' AS nfc, '43616665cc81' AS nfd_hex FROM documents WHERE doc_id % 128 = 14",
+    "mac_names": f"SELECT doc_id, 'Caf' || ({_sql_list(_HIGH)})[doc_id % 128 + 1] AS nfc, '436166' || ({_sql_list(_APART)})[doc_id % 128 + 1] AS nfd_hex FROM documents",
     "encrypted": """
-        SELECT doc_id, attempt, status, CASE WHEN attempt = 2 THEN sha256(CASE WHEN strlen(text) = 0 THEN 'x'::BLOB ELSE encode(text)[1:2000] END) END AS sha256
-        FROM documents, (VALUES (0, 'password-required'), (1, 'password-bad'), (2, 'ok')) AS a(attempt, status) WHERE doc_id % 10 = 0""",
+        SELECT doc_id, attempt, status, CASE WHEN attempt = 2 THEN sha256(CASE WHEN strlen(text) = 0 THEN 'x' ELSE text END) END AS sha256
+        FROM documents, (VALUES (0, 'password-required'), (1, 'password-bad'), (2, 'ok')) AS a(attempt, status)""",
+    "extract_rename": """
+        SELECT doc_id, event_idx, target, CASE WHEN event_idx = 0 THEN strlen(text) + 1 ELSE size END AS size
+        FROM documents, (VALUES (0, 'f', 0), (1, 'f.rsrc', 1), (3, 'f.finder.json', NULL), (4, 'f.1', 1), (5, 'f.1.rsrc', 1), (7, 'f.1.finder.json', NULL), (8, 'f.1.1', 1), (11, 'f.1.1.finder.json', NULL)) AS e(event_idx, target, size)""",
+    "extract_unsafe": """
+        SELECT doc_id, on_error, extracted_files, 1::BIGINT AS skipped_files, 'bad-format' AS status, 3 AS exit_code
+        FROM documents, (VALUES ('continue', 2::BIGINT), ('abort', 1::BIGINT)) AS m(on_error, extracted_files)""",
+    # 22 bytes of archive header, 112 of the member's, then its resource fork of four bytes, then its data fork.
+    "listing_verylong": """
+        SELECT doc_id, '{"header":22,"data":138,"resource":134};{"header":' || (n + 138) || ',"data":' || (n + 250) || ',"resource":' || (n + 250) || '}' AS offsets
+        FROM (SELECT doc_id, strlen(text) + 1 AS n FROM documents)""",
+    "dump_entry": """
+        SELECT doc_id, '{"index":0,"path":"a","kind":"file","header_offset":22,"finder":{"type":"TEXT","creator":"ttxt","flags":"0000"},"mac_time":{"create":3061152000,"modify":3758308646},"data_fork":{"present":true,"offset":138,"size":' || n ||
+          ',"compressed_size":' || n || ',"method":0,"method_name":"none","crc16":"-","encrypted":false,"encryption":"none"},"resource_fork":{"present":true,"offset":134,"size":4,"compressed_size":4,"method":0,"method_name":"none","crc16":"-","encrypted":false,"encryption":"none"}}' AS json
+        FROM (SELECT doc_id, strlen(text) + 1 AS n FROM documents)""",
+    "bridge_identify": """
+        SELECT doc_id, '{"status":"' || status || '","wrapper":"' || wrapper || '","format":"' || format || '","supported":' || (n = 1) || ',"entry_count":' || n || '}' AS json
+        FROM documents JOIN (VALUES (0, 'raw', 'sit-classic', 'ok', 1), (1, 'raw', 'sit5', 'ok', 1), (2, 'macbinary', 'sit-classic', 'ok', 1), (3, 'applesingle', 'sit-classic', 'ok', 1), (4, 'appledouble', 'sit-classic', 'ok', 1),
+          (5, 'binhex', 'sit-classic', 'ok', 1), (6, 'pe-sfx', 'unknown', 'unsupported', 0), (7, 'raw', 'sitx', 'unsupported', 0), (8, 'unknown', 'unknown', 'unsupported', 0)) AS k(r, wrapper, format, status, n) ON doc_id % 9 = r""",
+    "change_counters": """
+        SELECT source, count(*) FILTER (doc_id % 9 = 1) AS added, count(*) FILTER (doc_id % 3 < 2 AND doc_id % 9 <> 1 AND doc_id % 2 = 0) AS updated,
+          count(*) FILTER (doc_id % 3 < 2 AND doc_id % 9 <> 1 AND doc_id % 2 = 1) AS skipped, count(*) FILTER (lang IN ('de', 'fr')) AS deleted, count(*) FILTER (lang NOT IN ('de', 'fr')) AS kept
+        FROM documents GROUP BY source""",
     "resource_forks": """
         SELECT doc_id, output, target, CASE output WHEN 'data' THEN strlen(text) WHEN 'rsrc' THEN strlen('rsrc ' || doc_id) ELSE 82 + strlen('rsrc ' || doc_id) END AS size, 'ok' AS status
         FROM documents, (VALUES ('data', 'a.txt'), ('rsrc', 'a.txt.rsrc'), ('appledouble', '._a.txt')) AS o(output, target) WHERE output <> 'data' OR strlen(text) > 0""",

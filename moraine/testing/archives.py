@@ -25,10 +25,14 @@ class Member:
     flags: int = 0
     created: int = 3061152000
     modified: int = 3758308646
+    #: The data fork as it is to be stored, if it is encoded already.
+    packed: bytes | None = None
 
 
 def _packed(member: Member, payload: bytes) -> tuple[int, bytes]:
     """Method and bytes of a fork; empty ones are stored."""
+    if payload and member.packed is not None and payload is member.data:
+        return member.method, member.packed
     return (member.method, ENCODERS[member.method](payload)) if payload else (0, b"")
 
 

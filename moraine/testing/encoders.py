@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from moraine.operators import codecs
+from moraine.operators import codecs, tables
 
 
 def rle90(data: bytes) -> bytes:
@@ -193,6 +193,13 @@ def lz_huffman(data: bytes, share_table: bool = False) -> bytes:
     return bits.bytes_low()
 
 
+def predefined(data: bytes, number: int) -> bytes:
+    """Method 13 with one of the five predefined sets: literals only, so the first code is always the one in use."""
+    codes = {symbol: f"{value:0{size}b}" for (size, value), symbol in codecs.canonical(tables.CODE_SETS[number - 1][0]).items()}
+    bits = "".join(codes[x] for x in data)
+    return bytes([number << 4]) + bytes(int(bits[i : i + 8].ljust(8, "0")[::-1], 2) for i in range(0, len(bits), 8))
+
+
 def _exponent(distance: int) -> int:
     return distance - 1 if distance < 3 else (distance - 1).bit_length()
 

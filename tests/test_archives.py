@@ -102,6 +102,58 @@ def test_sidecars_and_collisions(spark):
     assert sorted(r["status"] for r in extract.plan(files).collect()) == ["ok", "skipped"]
 
 
+def test_first_free_names(spark):
+    files = opened(spark, [("a", make.classic([make.Member("f", b"1", b"r"), make.Member("f", b"2", b"s"), make.Member("f.1", b"3"), make.Member("d/f", b"4", b"t")])), ("b", make.classic([make.Member("f", b"5")]))])
+    existing = spark.createDataFrame([(0, "d/f"), (0, "d/f.1")], "archive_id long, path string")
+    events = extract.plan(files, forks="appledouble", finder="sidecar", collision="rename", existing=existing)
+    got = [r["target"] for r in events.filter("archive_id = 0").orderBy("event_idx").collect()]
+    assert got == ["f", "._f", "f.finder.json", "f.1", "._f.1", "f.1.finder.json", "f.1.1", "f.1.1.finder.json", "d/f.2", "d/._f.2", "d/f.2.finder.json"]
+    assert events.filter("archive_id = 1 and target = 'f'").count() == 1
+    paths = spark.createDataFrame([("a", i, p) for i, p in enumerate(["f.1", "f", "f", "f.1", "f", "g"])], "archive_id string, event_idx int, path string")
+    assert [r["target"] for r in writer.rename_collisions(paths).orderBy("event_idx").collect()] == ["f.1", "f", "f.2", "f.1.1", "f.3", "g"]
+
+
+def test_files_of_archives_with_one_name(spark, tmp_path):
+    """From files to files: scan, list, extract and write; archives of one name in two folders keep their files apart."""
+    from moraine.sources.detect import read_archives
+
+    for folder, text in (("x", b"one"), ("y", b"two")):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "a.sit").write_bytes(make.classic([make.Member("m", text)]))
+    events = extract.plan(open_archives(read_archives(spark, str(tmp_path / "in"), glob="*.sit")))
+    extract.write_files(events, str(tmp_path / "out"))
+    assert sorted(p.read_bytes() for p in (tmp_path / "out").glob("*/m")) == [b"one", b"two"]
+
+
+def test_the_gate_before_writing(spark):
+    files = opened(spark, [("a", make.classic([make.Member("f", b"1", b"r")])), ("b", make.classic([make.Member("f", b"1")]))])
+    with pytest.raises(ValueError, match="such as 0"):
+        writer.require_writable(list_entries(files), files)
+    only = files.filter("archive_id = 1")
+    writer.require_writable(list_entries(only), only)
+
+
+def test_reports_of_members(spark):
+    files = opened(spark, [("a", make.v5([make.Member("top/x.txt", b"1"), make.Member("top/sub/y.JPG", b"2"), make.Member("z.txt", b"3")]))])
+    entries = list_entries(files)
+    assert reports.entry_counts(entries).first()["entry_count"] == 5
+    assert [(r["folder"], r["files"]) for r in reports.top_folders(entries).collect()] == [("top", 2)]
+    assert {r["path"] for r in reports.without_extensions(entries, [".jpg"]).collect()} == {"top", "top/sub", "top/x.txt", "z.txt"}
+    stripped = reports.without_top_folder(decode.manifest(decode.payloads(files)))
+    assert {r["path"] for r in stripped.collect()} == {"x.txt", "sub/y.JPG", "z.txt"}
+
+
+def test_checksums_of_any_length():
+    import random
+
+    rng = random.Random(2)
+    for n in (*range(70), 4095, 4096, 4097, 8192, 8193, 20_000):
+        data, crc = rng.randbytes(n), 0
+        for x in data:
+            crc = crc >> 8 ^ native.IBM_TABLE[(crc ^ x) & 255]
+        assert native.crc16_ibm_bytes(data) == crc, n
+
+
 def test_native_functions(spark):
     row = spark.range(1).select(
         native.crc16_ibm(F.lit("123456789").cast("binary")).alias("ibm"), native.crc16_ccitt(F.lit("123456789").cast("binary")).alias("ccitt"), names.mac_roman(F.unhex(F.lit("4361668E20DB"))).alias("name"), native.le(F.unhex(F.lit("12345678")), 0, 4).alias("le"), native.be(F.unhex(F.lit("12345678")), 1, 4).alias("beyond"),
