@@ -138,9 +138,9 @@ def near_duplicates(documents: DataFrame, threshold: int = 4, words: int = 4, id
 BANDS, BAND_ROWS = 56, 6
 #: Members of a bucket that all others of it are compared with before the pairs that are still apart are.
 HEADS = 3
-#: Bits of a set's fingerprint, one from each of as many minima, and how many may differ before the sets are compared: in a pair of similarity 0.8 a bit
-#: differs with a chance of 0.1, and more than so many do with one below 3e-7.
-MARKS, MOST_APART = 320, 64
+#: How many of the octets of a set's fingerprint, one from each minimum, may differ before the sets are compared: in a pair of similarity 0.8 an octet
+#: differs with a chance of 0.2, and more than so many do with one of about 2e-6.
+MOST_APART = 104
 _ODD, _ADD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -161,11 +161,11 @@ def shingle_values(text: str | None, words: int = 5) -> np.ndarray:
 
 
 def sketch(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One key for each band of the min-hash sketch of a set of shingle values, and the set's fingerprint (five longs)."""
+    """One key for each band of the min-hash sketch of a set of shingle values, and the set's fingerprint (an octet of each minimum, eight in a long)."""
     low = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(values), 512):
         np.minimum(low, (values[at : at + 512, None] * _ODD + _ADD).min(axis=0), out=low)
-    marks = np.packbits((low[:MARKS] >> np.uint64(20) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+    marks = (low >> np.uint64(20)).astype(np.uint8).view(np.int64)
     low = low.reshape(BANDS, BAND_ROWS)
     keys = np.arange(BANDS, dtype=np.uint64)  # so that equal keys are of one band
     for i in range(BAND_ROWS):
@@ -180,7 +180,7 @@ def _keyed(documents: DataFrame) -> DataFrame:
 
 
 def _sketches(rows: DataFrame, words: int) -> DataFrame:
-    """(doc_id, key, node, bands, size, marks): ``node`` is equal for equal sets of shingles."""
+    """(doc_id, key, node, bands): ``node`` is equal for equal sets of shingles."""
     from hashlib import blake2b
 
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -189,29 +189,32 @@ def _sketches(rows: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             sets = [shingle_values(t, words) for t in batch.column(2).to_pylist()]
             node = np.array([int.from_bytes(blake2b(x.tobytes(), digest_size=8).digest(), "little") for x in sets], np.uint64)
-            sketches = [sketch(x) for x in sets]
-            bands, marks = (pa.array([x[i] for x in sketches], pa.list_(pa.int64())) for i in range(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.view(np.int64)), bands, pa.array([len(x) for x in sets], pa.int32()), marks], names=["doc_id", "key", "node", "bands", "size", "marks"])
+            bands = pa.array([sketch(x)[0] for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.view(np.int64)), bands], names=["doc_id", "key", "node", "bands"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, key long, node long, bands array<long>, size int, marks array<long>")
-
-
-def _may_be_similar(a: str, b: str, similarity: float) -> Column:
-    """Whether two sets' sizes allow the similarity, and their fingerprints are near enough."""
-    size_a, size_b = F.col(f"{a}.size"), F.col(f"{b}.size")
-    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.m{i}").bitwiseXOR(F.col(f"{b}.m{i}"))) for i in range(MARKS // 64)))
-    return (F.least(size_a, size_b) >= similarity * F.greatest(size_a, size_b)) & (apart <= MOST_APART)
+    return rows.mapInArrow(run, f"doc_id {kind}, key long, node long, bands array<long>")
 
 
 def _shingle_sets(rows: DataFrame, words: int) -> DataFrame:
-    """(node, values) of rows (node, text)."""
+    """(node, size, marks, values) of rows (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_values(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "values"])
+            sets = [shingle_values(t, words) for t in batch.column(1).to_pylist()]
+            marks, values = (pa.array(x, pa.list_(pa.int64())) for x in ([sketch(x)[1] for x in sets], [x.view(np.int64) for x in sets]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), marks, values], names=["node", "size", "marks", "values"])
 
-    return rows.select("node", "text").mapInArrow(run, "node long, values array<long>")
+    return rows.select("node", "text").mapInArrow(run, "node long, size int, marks array<long>, values array<long>")
+
+
+def _may_be_similar(a: str, b: str, similarity: float) -> Column:
+    """Whether two sets' sizes allow the similarity, and their fingerprints are near enough."""
+    size_a, size_b = F.col(f"{a}.size"), F.col(f"{b}.size")
+    differ = f"zip_with({a}.marks, {b}.marks, (x, y) -> x ^ y)"
+    for step in (4, 2, 1):  # the lowest bit of each octet gathers the others
+        differ = f"transform({differ}, d -> d | shiftrightunsigned(d, {step}))"
+    apart = F.expr(f"aggregate({differ}, 0, (n, d) -> n + bit_count(d & {0x0101010101010101}L))")
+    return (F.least(size_a, size_b) >= similarity * F.greatest(size_a, size_b)) & (apart <= MOST_APART)
 
 
 def similar_classes(documents: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
@@ -225,10 +228,8 @@ def similar_classes(documents: DataFrame, similarity: float = 0.8, words: int =
         raise ValueError("bands and fingerprints are made for a similarity of 0.8 or more")
     rows = _keyed(documents)
     first = F.min(F.struct("doc_id", "key")).alias("first")
-    of_set = ("bands", "size", "marks")
-    classes = _sketches(rows, words).groupBy("node").agg(first, *[F.first(c).alias(c) for c in of_set])
-    classes = common.materialize(classes.select("node", "first.doc_id", "first.key", "bands", "size", *[F.get("marks", F.lit(i)).alias(f"m{i}") for i in range(MARKS // 64)]))
-    traits = ["node", "size", *[f"m{i}" for i in range(MARKS // 64)]]
+    classes = _sketches(rows, words).groupBy("node").agg(first, F.first("bands").alias("bands"))
+    classes = common.materialize(classes.select("node", "first.doc_id", "first.key", "bands"))
     placed = classes.select("node", F.explode("bands").alias("part"))
     heads = F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(i)), "node"))["node"] for i in range(HEADS)])
     shared = placed.groupBy("part").agg(F.count("*").alias("n"), heads.alias("heads")).filter("n > 1")
@@ -248,14 +249,17 @@ def similar_classes(documents: DataFrame, similarity: float = 0.8, words: int =
         return pairs.select(F.greatest("a.node", "b.node").alias("src"), F.least("a.node", "b.node").alias("dst")).distinct()
 
     pairs = ends(buckets.select("node", F.explode("heads").alias("head")).filter("node <> head").select(F.struct("node").alias("a"), F.struct(F.col("head").alias("node")).alias("b")))
-    a, b = (classes.select(*traits).alias(end) for end in ("a", "b"))
+    traits = sets.select("node", "size", "marks")
+    a, b = (traits.alias(end) for end in ("a", "b"))
     near = pairs.join(a.hint("merge"), F.col("src") == F.col("a.node")).join(b.hint("merge"), F.col("dst") == F.col("b.node")).filter(_may_be_similar("a", "b", similarity))
     edges = verified(near.select("src", "dst"))
     components = common.connected_components(edges)
-    # Buckets of two are done.
+    # What is left are the buckets that are not of one component.
     named = components.withColumnRenamed("node", "name")
-    known = classes.select(*traits).join(named.hint("merge"), F.col("node") == F.col("name"), "left").select(*traits, F.coalesce("component", "node").alias("component"))
-    now = buckets.filter(F.col("n") > 2).select("part", "node").join(known.hint("merge"), "node")
+    light = buckets.filter(F.col("n") > 2).select("part", "node").join(named.hint("merge"), F.col("node") == F.col("name"), "left").select("part", "node", F.coalesce("component", "node").alias("component"))
+    light = common.materialize(light)
+    mixed = light.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("part")
+    now = light.join(mixed.hint("merge"), "part", "left_semi").join(traits.hint("merge"), "node")
     a, b = now.alias("a"), now.alias("b")
     apart = (F.col("a.part") == F.col("b.part")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & _may_be_similar("a", "b", similarity)
     more = verified(ends(a.hint("merge").join(b, apart)))
