@@ -196,15 +196,16 @@ def _sketches(rows: DataFrame, words: int) -> DataFrame:
 
 
 def _shingle_sets(rows: DataFrame, words: int) -> DataFrame:
-    """(node, size, marks, values) of rows (node, text)."""
+    """(node, size, marks, keys, values) of rows (node, text); keys are the bands'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_values(t, words) for t in batch.column(1).to_pylist()]
-            marks, values = (pa.array(x, pa.list_(pa.int64())) for x in ([sketch(x)[1] for x in sets], [x.view(np.int64) for x in sets]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), marks, values], names=["node", "size", "marks", "values"])
+            sketches = [sketch(x) for x in sets]
+            marks, keys, values = (pa.array(x, pa.list_(pa.int64())) for x in ([x[1] for x in sketches], [x[0] for x in sketches], [x.view(np.int64) for x in sets]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), marks, keys, values], names=["node", "size", "marks", "keys", "values"])
 
-    return rows.select("node", "text").mapInArrow(run, "node long, size int, marks array<long>, values array<long>")
+    return rows.select("node", "text").mapInArrow(run, "node long, size int, marks array<long>, keys array<long>, values array<long>")
 
 
 def _may_be_similar(a: str, b: str, similarity: float) -> Column:
@@ -259,9 +260,11 @@ def similar_classes(documents: DataFrame, similarity: float = 0.8, words: int =
     light = buckets.filter(F.col("n") > 2).select("part", "node").join(named.hint("merge"), F.col("node") == F.col("name"), "left").select("part", "node", F.coalesce("component", "node").alias("component"))
     light = common.materialize(light)
     mixed = light.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("part")
-    now = light.join(mixed.hint("merge"), "part", "left_semi").join(traits.hint("merge"), "node")
+    now = light.join(mixed.hint("merge"), "part", "left_semi").join(sets.select("node", "size", "marks", "keys").hint("merge"), "node")
+    # A pair counts in the first bucket that both are in.
+    first_shared = F.expr("get(filter(zip_with(a.keys, b.keys, (x, y) -> IF(x = y, x, null)), x -> x is not null), 0)")
     a, b = now.alias("a"), now.alias("b")
-    apart = (F.col("a.part") == F.col("b.part")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & _may_be_similar("a", "b", similarity)
+    apart = (F.col("a.part") == F.col("b.part")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & (first_shared == F.col("a.part")) & _may_be_similar("a", "b", similarity)
     more = verified(ends(a.hint("merge").join(b, apart)))
     if not more.isEmpty():
         named = common.connected_components(edges.union(more)).withColumnRenamed("node", "name")
