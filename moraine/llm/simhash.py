@@ -138,6 +138,8 @@ def near_duplicates(documents: DataFrame, threshold: int = 4, words: int = 4, id
 BANDS, BAND_ROWS = 56, 6
 #: Members of a bucket that all others of it are compared with before the pairs that are still apart are.
 HEADS = 3
+#: Members of a bucket, about, of which all pairs that are still apart are compared in one task; larger buckets are dealt in tiles.
+TILE = 2048
 #: How many of the octets of a set's fingerprint, one from each minimum, may differ before the sets are compared: in a pair of similarity 0.8 an octet
 #: differs with a chance of 0.2, and more than so many do with one of about 2e-6.
 MOST_APART = 104
@@ -218,6 +220,38 @@ def _may_be_similar(a: str, b: str, similarity: float) -> Column:
     return (F.least(size_a, size_b) >= similarity * F.greatest(size_a, size_b)) & (apart <= MOST_APART)
 
 
+def _apart(members: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst) of the members of one bucket that are of different components and may be similar, each pair once.
+
+    ``members``: (part, n, node, component, size, marks, keys), n being the bucket's members. A bucket is dealt in tiles, each pair of tiles to one group.
+    A pair counts in the first bucket that both are in.
+    """
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    dealt = members.withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int"))
+    meet = F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("i"), F.greatest(t, F.col("tile")).alias("j")))
+    dealt = dealt.withColumn("meet", F.explode(meet)).select("part", "meet.i", "meet.j", "tile", "node", "component", "size", "marks", "keys")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("tile")
+        tile, node, component, size = (table.column(name).to_numpy() for name in ("tile", "node", "component", "size"))
+        marks, keys = (table.column(name).combine_chunks().flatten().to_numpy().reshape(len(node), -1) for name in ("marks", "keys"))
+        marks = np.ascontiguousarray(marks).view(np.uint8)
+        part, i, j = (table.column(name)[0].as_py() for name in ("part", "i", "j"))
+        second = len(node) if i == j else int(np.searchsorted(tile, j))
+        src, dst = [], []
+        for at in range(second):
+            others = np.arange(at + 1 if i == j else second, len(node))
+            others = others[component[others] != component[at]]
+            others = others[np.minimum(size[others], size[at]) >= similarity * np.maximum(size[others], size[at])]
+            others = others[keys[at][(keys[others] == keys[at]).argmax(axis=1)] == part]
+            others = others[np.count_nonzero(marks[others] != marks[at], axis=1) <= MOST_APART]
+            src.append(np.maximum(node[others], node[at]))
+            dst.append(np.minimum(node[others], node[at]))
+        return pa.table({"src": np.concatenate([np.zeros(0, np.int64), *src]), "dst": np.concatenate([np.zeros(0, np.int64), *dst])})
+
+    return dealt.groupBy("part", "i", "j").applyInArrow(run, "src long, dst long").distinct()
+
+
 def similar_classes(documents: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
     """(node, doc_id, key, component): a row for each set of shingles, with the smallest id that has it, that id's smallest text key, and its component.
 
@@ -259,13 +293,9 @@ def similar_classes(documents: DataFrame, similarity: float = 0.8, words: int =
     named = components.withColumnRenamed("node", "name")
     light = buckets.filter(F.col("n") > 2).select("part", "node").join(named.hint("merge"), F.col("node") == F.col("name"), "left").select("part", "node", F.coalesce("component", "node").alias("component"))
     light = common.materialize(light)
-    mixed = light.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("part")
-    now = light.join(mixed.hint("merge"), "part", "left_semi").join(sets.select("node", "size", "marks", "keys").hint("merge"), "node")
-    # A pair counts in the first bucket that both are in.
-    first_shared = F.expr("get(filter(zip_with(a.keys, b.keys, (x, y) -> IF(x = y, x, null)), x -> x is not null), 0)")
-    a, b = now.alias("a"), now.alias("b")
-    apart = (F.col("a.part") == F.col("b.part")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & (first_shared == F.col("a.part")) & _may_be_similar("a", "b", similarity)
-    more = verified(ends(a.hint("merge").join(b, apart)))
+    mixed = light.groupBy("part").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("part", "n")
+    now = light.join(mixed.hint("merge"), "part").join(sets.select("node", "size", "marks", "keys").hint("merge"), "node")
+    more = verified(_apart(now, similarity))
     if not more.isEmpty():
         named = common.connected_components(edges.union(more)).withColumnRenamed("node", "name")
     return classes.join(named.hint("merge"), F.col("node") == F.col("name"), "left").select("node", "doc_id", "key", F.coalesce("component", "node").alias("component"))

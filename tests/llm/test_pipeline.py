@@ -141,3 +141,29 @@ def test_simhash_stage_by_plain_shingles(spark):
     kept = {r["doc_id"] for r in simhash.keep_first(docs).collect()}
     assert kept == {i for i, x in enumerate(first) if i == x} | {None}
     assert sum(i != x for i, x in enumerate(first)) > 40
+
+
+def test_pairs_apart_in_tiles_equal_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 5)
+    draw = np.random.default_rng(7)
+    nodes = draw.choice(10**12, 40, replace=False).tolist()
+    keys = draw.integers(0, 2, (40, 6))
+    keys = (keys * 1000 + np.arange(6)).tolist()
+    marks = draw.integers(0, 2, (40, 26)).tolist()
+    size, component = draw.integers(80, 120, 40).tolist(), draw.integers(0, 4, 40).tolist()
+    buckets = {}
+    for n in range(40):
+        for key in keys[n]:
+            buckets.setdefault(key, []).append(n)
+    rows = [(part, len(b), nodes[n], component[n], size[n], marks[n], keys[n]) for part, b in buckets.items() for n in b]
+    table = spark.createDataFrame(rows, "part long, n long, node long, component long, size int, marks array<long>, keys array<long>")
+    monkeypatch.setattr(simhash, "MOST_APART", 12)
+    plain = set()
+    for x in range(40):
+        for y in range(x):
+            near = sum(a != b for a, b in zip(marks[x], marks[y], strict=True)) <= 12
+            meet = any(a == b for a, b in zip(keys[x], keys[y], strict=True))
+            if near and meet and component[x] != component[y] and min(size[x], size[y]) >= 0.8 * max(size[x], size[y]):
+                plain.add((max(nodes[x], nodes[y]), min(nodes[x], nodes[y])))
+    found = [tuple(r) for r in simhash._apart(table, 0.8).collect()]
+    assert len(found) == len(set(found)) and set(found) == plain and plain
