@@ -140,11 +140,15 @@ BANDS, BAND_ROWS = 56, 6
 HEADS = 3
 #: Members of a bucket, about, of which all pairs that are still apart are compared in one task; larger buckets are dealt in tiles.
 TILE = 2048
-#: How many of the octets of a set's fingerprint, one from each minimum, may differ before the sets are compared: in a pair of similarity 0.8 an octet
-#: differs with a chance of 0.2, and more than so many do with one of about 2e-6.
-MOST_APART = 104
+#: 64-bit words of the SimHash fingerprint of a set of shingles.
+FINGERPRINT_WORDS = 32
+#: Radius of the fingerprints: of two sets of similarity 0.8 a bit differs with a chance of 0.161 at most, if the larger has SMALL shingles or more, and more
+#: bits than so many with one of about 1e-7. Smaller sets are compared whatever their fingerprints.
+MOST_APART = 416
+SMALL = 15
 _ODD, _ADD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_WORD_ODD, _WORD_ADD = np.random.default_rng(SEED + 1).integers(0, 1 << 63, (2, FINGERPRINT_WORDS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_values(text: str | None, words: int = 5) -> np.ndarray:
@@ -162,18 +166,28 @@ def shingle_values(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in pairs], np.uint64))
 
 
-def sketch(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One key for each band of the min-hash sketch of a set of shingle values, and the set's fingerprint (an octet of each minimum, eight in a long)."""
+def sketch(values: np.ndarray) -> np.ndarray:
+    """One key for each band of the min-hash sketch of a set of shingle values."""
     low = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(values), 512):
         np.minimum(low, (values[at : at + 512, None] * _ODD + _ADD).min(axis=0), out=low)
-    marks = (low >> np.uint64(20)).astype(np.uint8).view(np.int64)
     low = low.reshape(BANDS, BAND_ROWS)
     keys = np.arange(BANDS, dtype=np.uint64)  # so that equal keys are of one band
     for i in range(BAND_ROWS):
         keys = (keys ^ low[:, i]) * _MIX
         keys ^= keys >> np.uint64(29)
-    return keys.view(np.int64), marks
+    return keys.view(np.int64)
+
+
+def set_fingerprint(values: np.ndarray) -> np.ndarray:
+    """SimHash of a set of shingle values, as longs: a bit is 1 if it is set in over half of the values, each spread over all words."""
+    ones = np.zeros(64 * FINGERPRINT_WORDS, np.int64)
+    for at in range(0, len(values), 255):  # so many ones an octet can count
+        spread = values[at : at + 255, None] * _WORD_ODD + _WORD_ADD
+        spread = (spread ^ (spread >> np.uint64(29))) * _MIX
+        spread ^= spread >> np.uint64(32)
+        ones += np.unpackbits(spread.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(values)).view(np.int64)
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -191,40 +205,43 @@ def _sketches(rows: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             sets = [shingle_values(t, words) for t in batch.column(2).to_pylist()]
             node = np.array([int.from_bytes(blake2b(x.tobytes(), digest_size=8).digest(), "little") for x in sets], np.uint64)
-            bands = pa.array([sketch(x)[0] for x in sets], pa.list_(pa.int64()))
+            bands = pa.array([sketch(x) for x in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.view(np.int64)), bands], names=["doc_id", "key", "node", "bands"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, key long, node long, bands array<long>")
 
 
 def _shingle_sets(rows: DataFrame, words: int) -> DataFrame:
-    """(node, size, marks, keys, values) of rows (node, text); keys are the bands'."""
+    """(node, size, marks, keys, values) of rows (node, text); marks are the fingerprint, keys the bands'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_values(t, words) for t in batch.column(1).to_pylist()]
-            sketches = [sketch(x) for x in sets]
-            marks, keys, values = (pa.array(x, pa.list_(pa.int64())) for x in ([x[1] for x in sketches], [x[0] for x in sketches], [x.view(np.int64) for x in sets]))
+            marks, keys, values = (pa.array(x, pa.list_(pa.int64())) for x in ([set_fingerprint(x) for x in sets], [sketch(x) for x in sets], [x.view(np.int64) for x in sets]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), marks, keys, values], names=["node", "size", "marks", "keys", "values"])
 
     return rows.select("node", "text").mapInArrow(run, "node long, size int, marks array<long>, keys array<long>, values array<long>")
 
 
 def _may_be_similar(a: str, b: str, similarity: float) -> Column:
-    """Whether two sets' sizes allow the similarity, and their fingerprints are near enough."""
+    """Whether two sets' sizes allow the similarity, and their fingerprints are within the radius."""
     size_a, size_b = F.col(f"{a}.size"), F.col(f"{b}.size")
-    differ = f"zip_with({a}.marks, {b}.marks, (x, y) -> x ^ y)"
-    for step in (4, 2, 1):  # the lowest bit of each octet gathers the others
-        differ = f"transform({differ}, d -> d | shiftrightunsigned(d, {step}))"
-    apart = F.expr(f"aggregate({differ}, 0, (n, d) -> n + bit_count(d & {0x0101010101010101}L))")
-    return (F.least(size_a, size_b) >= similarity * F.greatest(size_a, size_b)) & (apart <= MOST_APART)
+    distance = F.expr(f"aggregate(zip_with({a}.marks, {b}.marks, (x, y) -> bit_count(x ^ y)), 0, (n, d) -> n + d)")
+    return (F.least(size_a, size_b) >= similarity * F.greatest(size_a, size_b)) & ((distance <= MOST_APART) | (F.greatest(size_a, size_b) < SMALL))
+
+
+def _pivot_distances(marks: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints (a row of words each) to PIVOTS of them at most, a row for each pivot."""
+    pivots = marks[np.unique(np.linspace(0, len(marks) - 1, PIVOTS).astype(int))]
+    return np.stack([np.bitwise_count(marks ^ pivot).sum(axis=1, dtype=np.int32) for pivot in pivots])
 
 
 def _apart(members: DataFrame, similarity: float) -> DataFrame:
     """(src, dst) of the members of one bucket that are of different components and may be similar, each pair once.
 
     ``members``: (part, n, node, component, size, marks, keys), n being the bucket's members. A bucket is dealt in tiles, each pair of tiles to one group.
-    A pair counts in the first bucket that both are in.
+    A pair counts in the first bucket that both are in. In a group the fingerprints' distances to some of them, the pivots, are computed once; a pair whose distances to
+    a pivot differ by more than the radius is discarded, as by the triangle inequality it can't be within it, and the rest are compared by their fingerprints.
     """
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     dealt = members.withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int"))
@@ -235,7 +252,8 @@ def _apart(members: DataFrame, similarity: float) -> DataFrame:
         table = table.sort_by("tile")
         tile, node, component, size = (table.column(name).to_numpy() for name in ("tile", "node", "component", "size"))
         marks, keys = (table.column(name).combine_chunks().flatten().to_numpy().reshape(len(node), -1) for name in ("marks", "keys"))
-        marks = np.ascontiguousarray(marks).view(np.uint8)
+        marks = np.ascontiguousarray(marks).view(np.uint64)
+        distances = _pivot_distances(marks)
         part, i, j = (table.column(name)[0].as_py() for name in ("part", "i", "j"))
         second = len(node) if i == j else int(np.searchsorted(tile, j))
         src, dst = [], []
@@ -243,8 +261,11 @@ def _apart(members: DataFrame, similarity: float) -> DataFrame:
             others = np.arange(at + 1 if i == j else second, len(node))
             others = others[component[others] != component[at]]
             others = others[np.minimum(size[others], size[at]) >= similarity * np.maximum(size[others], size[at])]
+            small = np.maximum(size[others], size[at]) < SMALL
+            others = others[small | (np.abs(distances[:, others] - distances[:, at, None]) <= MOST_APART).all(axis=0)]
+            small = np.maximum(size[others], size[at]) < SMALL
+            others = others[small | (np.bitwise_count(marks[others] ^ marks[at]).sum(axis=1, dtype=np.int32) <= MOST_APART)]
             others = others[keys[at][(keys[others] == keys[at]).argmax(axis=1)] == part]
-            others = others[np.count_nonzero(marks[others] != marks[at], axis=1) <= MOST_APART]
             src.append(np.maximum(node[others], node[at]))
             dst.append(np.minimum(node[others], node[at]))
         return pa.table({"src": np.concatenate([np.zeros(0, np.int64), *src]), "dst": np.concatenate([np.zeros(0, np.int64), *dst])})
@@ -255,9 +276,9 @@ def _apart(members: DataFrame, similarity: float) -> DataFrame:
 def similar_classes(documents: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
     """(node, doc_id, key, component): a row for each set of shingles, with the smallest id that has it, that id's smallest text key, and its component.
 
-    Components are over the pairs whose sets have a Jaccard similarity of ``similarity`` or more. Pairs meet by equal bands of a min-hash sketch and are
-    verified on the exact sets, unless their sizes or fingerprints are too far apart. In a bucket all are first compared with a few of them, then those that are not in one component
-    yet are paired; so the components are those of all pairs that meet.
+    Components are over the pairs whose sets have a Jaccard similarity of ``similarity`` or more. Pairs meet by equal bands of a min-hash sketch; SimHash fingerprints of the
+    sets and their distances to pivots discard those that are too far apart, and the exact sets verify the rest. In a bucket all are first compared with a few of them, then those
+    that are not in one component yet are paired; so the components are those of all pairs that meet.
     """
     if similarity < 0.8:
         raise ValueError("bands and fingerprints are made for a similarity of 0.8 or more")

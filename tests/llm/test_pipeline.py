@@ -167,3 +167,51 @@ def test_pairs_apart_in_tiles_equal_plain_loops(spark, monkeypatch):
                 plain.add((max(nodes[x], nodes[y]), min(nodes[x], nodes[y])))
     found = [tuple(r) for r in simhash._apart(table, 0.8).collect()]
     assert len(found) == len(set(found)) and set(found) == plain and plain
+
+
+def plain_set_fingerprint(values):
+    """Bit by bit, as a whole number of each word."""
+    words = []
+    for odd, add in zip(simhash._WORD_ODD.tolist(), simhash._WORD_ADD.tolist(), strict=True):
+        counts = [0] * 64
+        for v in values:
+            x = (v * odd + add) % 2**64
+            x = (x ^ (x >> 29)) * 0x9E3779B97F4A7C15 % 2**64
+            x ^= x >> 32
+            counts = [n + (x >> bit & 1) for bit, n in enumerate(counts)]
+        words.append(sum((2 * n > len(values)) << bit for bit, n in enumerate(counts)))
+    return words
+
+
+def hamming(a, b):
+    return int(np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)).sum())
+
+
+def test_simhash_of_sets_selects_similar_pairs():
+    """The stage's fingerprint is a SimHash, and its radius holds sets of similarity 0.8 and few of 0.5."""
+    draw = np.random.default_rng(3)
+    values = np.unique(draw.integers(0, 2**63, 601, np.uint64) * np.uint64(2) + np.uint64(1))
+    assert simhash.set_fingerprint(values).view(np.uint64).tolist() == plain_set_fingerprint(values.tolist())
+    for common_, a, b in [(12, 0, 3), (12, 1, 2), (20, 2, 3), (28, 3, 4), (80, 0, 20), (80, 10, 10), (400, 50, 50)]:
+        for _ in range(20):
+            values = draw.integers(0, 2**63, common_ + a + b, np.uint64) * np.uint64(2)
+            x, y = simhash.set_fingerprint(values[: common_ + a]), simhash.set_fingerprint(np.concatenate([values[:common_], values[common_ + a :]]))
+            assert hamming(x, y) <= simhash.MOST_APART
+    far = [draw.integers(0, 2**63, 150, np.uint64) for _ in range(20)]
+    assert all(hamming(simhash.set_fingerprint(x[:100]), simhash.set_fingerprint(x[50:])) > simhash.MOST_APART for x in far)
+
+
+def test_pivots_discard_only_pairs_beyond_the_radius():
+    draw = np.random.default_rng(4)
+    base = [draw.integers(0, 2**63, 100, np.uint64) for _ in range(5)]
+    sets = [np.concatenate([draw.permutation(b)[: 100 - k], draw.integers(0, 2**63, k, np.uint64)]) for b in base for k in (0, 2, 5, 8, 10)]
+    marks = np.stack([simhash.set_fingerprint(s) for s in sets]).view(np.uint64)
+    table = simhash._pivot_distances(marks)
+    assert table.shape == (simhash.PIVOTS, len(sets))
+    discarded = 0
+    for x in range(len(sets)):
+        for y in range(x):
+            if (abs(table[:, x] - table[:, y]) > simhash.MOST_APART).any():
+                discarded += 1
+                assert hamming(marks[x], marks[y]) > simhash.MOST_APART
+    assert discarded
