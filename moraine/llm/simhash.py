@@ -140,6 +140,8 @@ BANDS, BAND_ROWS = 56, 6
 HEADS = 3
 #: Members of a bucket, about, of which all pairs that are still apart are compared in one task; larger buckets are dealt in tiles.
 TILE = 2048
+#: Shingle values, about, of a tile's members together.
+TILE_VALUES = 1 << 20
 #: 64-bit words of the SimHash fingerprint of a set of shingles.
 FINGERPRINT_WORDS = 32
 #: Radius of the fingerprints: of two sets of similarity 0.8 a bit differs with a chance of 0.161 at most, if the larger has SMALL shingles or more, and more
@@ -239,14 +241,17 @@ def _pivot_distances(marks: np.ndarray) -> np.ndarray:
 def _apart(members: DataFrame, similarity: float) -> DataFrame:
     """(src, dst) of the members of one bucket that are of different components and may be similar, each pair once.
 
-    ``members``: (part, n, node, component, size, marks, keys), n being the bucket's members. A bucket is dealt in tiles, each pair of tiles to one group.
+    ``members``: (part, n, node, component, size, marks, keys), n being the bucket's members (or more, for smaller tiles). With the sets' ``values`` pairs are verified on them
+    as well, in the group, and those left out that links of the same group already hold together; so a group of m members gives at most m - 1 links, however many of its pairs
+    are near. A bucket is dealt in tiles, each pair of tiles to one group.
     A pair counts in the first bucket that both are in. In a group the fingerprints' distances to some of them, the pivots, are computed once; a pair whose distances to
     a pivot differ by more than the radius is discarded, as by the triangle inequality it can't be within it, and the rest are compared by their fingerprints.
     """
+    exact = "values" in members.columns
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     dealt = members.withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int"))
     meet = F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("i"), F.greatest(t, F.col("tile")).alias("j")))
-    dealt = dealt.withColumn("meet", F.explode(meet)).select("part", "meet.i", "meet.j", "tile", "node", "component", "size", "marks", "keys")
+    dealt = dealt.withColumn("meet", F.explode(meet)).select("part", "meet.i", "meet.j", "tile", "node", "component", "size", "marks", "keys", *["values"] * exact)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("tile")
@@ -256,6 +261,23 @@ def _apart(members: DataFrame, similarity: float) -> DataFrame:
         distances = _pivot_distances(marks)
         part, i, j = (table.column(name)[0].as_py() for name in ("part", "i", "j"))
         second = len(node) if i == j else int(np.searchsorted(tile, j))
+        if exact:
+            values = table.column("values").combine_chunks()
+            distinct, places = np.unique(values.flatten().to_numpy(), return_inverse=True)
+            places = np.split(places, np.cumsum(size)[:-1])
+            held = np.zeros(len(distinct), bool)
+            component = component.copy()
+
+        def verify(at: int, others: np.ndarray) -> Iterator[int]:
+            held[places[at]] = True
+            for other in others.tolist():
+                if component[other] != component[at]:
+                    both = int(np.count_nonzero(held[places[other]]))
+                    if both / (int(size[at]) + int(size[other]) - both) >= similarity:
+                        component[component == component[other]] = component[at]
+                        yield other
+            held[places[at]] = False
+
         src, dst = [], []
         for at in range(second):
             others = np.arange(at + 1 if i == j else second, len(node))
@@ -266,6 +288,8 @@ def _apart(members: DataFrame, similarity: float) -> DataFrame:
             small = np.maximum(size[others], size[at]) < SMALL
             others = others[small | (np.bitwise_count(marks[others] ^ marks[at]).sum(axis=1, dtype=np.int32) <= MOST_APART)]
             others = others[keys[at][(keys[others] == keys[at]).argmax(axis=1)] == part]
+            if exact:
+                others = np.fromiter(verify(at, others), np.int64)
             src.append(np.maximum(node[others], node[at]))
             dst.append(np.minimum(node[others], node[at]))
         return pa.table({"src": np.concatenate([np.zeros(0, np.int64), *src]), "dst": np.concatenate([np.zeros(0, np.int64), *dst])})
@@ -313,10 +337,11 @@ def similar_classes(documents: DataFrame, similarity: float = 0.8, words: int =
     # What is left are the buckets that are not of one component.
     named = components.withColumnRenamed("node", "name")
     light = buckets.filter(F.col("n") > 2).select("part", "node").join(named.hint("merge"), F.col("node") == F.col("name"), "left").select("part", "node", F.coalesce("component", "node").alias("component"))
-    light = common.materialize(light)
-    mixed = light.groupBy("part").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("part", "n")
-    now = light.join(mixed.hint("merge"), "part").join(sets.select("node", "size", "marks", "keys").hint("merge"), "node")
-    more = verified(_apart(now, similarity))
+    light = common.materialize(light.join(sets.select("node", "size").hint("merge"), "node"))
+    n = F.greatest(F.count("*"), F.ceil(F.sum("size") * (TILE / TILE_VALUES))).alias("n")
+    mixed = light.groupBy("part").agg(n, F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("part", "n")
+    now = light.join(mixed.hint("merge"), "part").join(sets.select("node", "marks", "keys", "values").hint("merge"), "node")
+    more = common.materialize(_apart(now, similarity))
     if not more.isEmpty():
         named = common.connected_components(edges.union(more)).withColumnRenamed("node", "name")
     return classes.join(named.hint("merge"), F.col("node") == F.col("name"), "left").select("node", "doc_id", "key", F.coalesce("component", "node").alias("component"))

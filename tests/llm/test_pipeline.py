@@ -215,3 +215,29 @@ def test_pivots_discard_only_pairs_beyond_the_radius():
                 discarded += 1
                 assert hamming(marks[x], marks[y]) > simhash.MOST_APART
     assert discarded
+
+
+def test_links_in_tiles_not_candidates(spark, monkeypatch):
+    """A large group of texts just below 0.8 gives no rows but its links, at most one fewer than members, and the components of plain loops."""
+    monkeypatch.setattr(simhash, "TILE", 30)
+    rng = random.Random(8)
+    base, rows, sets = list(range(1, 101)), [], {}
+    for node in range(60):
+        gone, new = rng.sample(base, 12), [1000 * (node + 1) + k for k in range(12)]
+        sets[node] = set(base) - set(gone) | set(new)  # about 0.63 to each other
+    for node in range(60, 80):  # near copies of the first, and of each other
+        sets[node] = sets[0] - {max(sets[0])} | {10**6 + node}
+    for node, x in sets.items():
+        values = np.array(sorted(x), np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        values.sort()
+        rows.append((7, 80, node, node, len(x), simhash.set_fingerprint(values).tolist(), [7], values.view(np.int64).tolist()))
+    schema = "part long, n long, node long, component long, size int, marks array<long>, keys array<long>, `values` array<long>"
+    monkeypatch.setattr(simhash, "MOST_APART", 64 * simhash.FINGERPRINT_WORDS)
+    found = [tuple(r) for r in simhash._apart(spark.createDataFrame(rows, schema), 0.8).collect()]
+    assert len(found) == len(set(found)) < 4 * 80
+    assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in found)
+    first = {node: node for node in sets}
+    for a, b in found:
+        old, new = max(first[a], first[b]), min(first[a], first[b])
+        first = {k: new if x == old else x for k, x in first.items()}
+    assert first == {node: 0 if node >= 60 else node for node in sets}
