@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from moraine.functions import names, native
 from moraine.operators import decode, extract, reports, writer
-from moraine.sources.parse import list_entries
+from moraine.sources.parse import V5_CRC_AT, V5_ENTRY_MAGIC, list_entries
 from moraine.sources.wrappers import open_archives
 from moraine.testing import archives as make
 from moraine.testing import encoders
@@ -159,8 +159,9 @@ def add_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _damaged(i: int, text: bytes) -> bytes:
     good = make.v5([make.Member("a.txt", text), make.Member("b.txt", text), make.Member("c.txt", text)])
-    at = good.rindex(text) if text else len(good)
-    if i % 4 == 1 and text:
+    # A bit of the last member's content; of an empty one, of the checksum in its header.
+    at = good.rindex(text) if text else good.rindex(V5_ENTRY_MAGIC.to_bytes(4, "big")) + V5_CRC_AT
+    if i % 4 == 1:
         return good[:at] + bytes([good[at] ^ 1]) + good[at + 1 :]
     return good[: len(good) // 2] if i % 4 == 2 else good
 

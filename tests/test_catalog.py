@@ -2,6 +2,7 @@ import hashlib
 import re
 import unicodedata
 
+import duckdb
 from pyspark.sql import functions as F
 
 from moraine.operators import reports
@@ -13,6 +14,12 @@ def documents(spark, tmp_path, rows):
     return str(tmp_path)
 
 
+def oracle(tmp_path, query):
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        return sorted(con.execute(catalog.ORACLE_SQL[query]).fetchall())
+
+
 def plain_crc(data, reflected):
     crc = 0
     for byte in data:
@@ -65,3 +72,9 @@ def test_encrypted_runs_over_all_documents_and_whole_texts(spark, tmp_path):
         want[i, 0], want[i, 1] = ("password-required", None), ("password-bad", None)
         want[i, 2] = ("ok", hashlib.sha256((text or "x").encode()).hexdigest())
     assert got == want
+
+
+def test_extract_counters_of_empty_texts_equal_the_sql(spark, tmp_path):
+    rows = [(i, "" if i < 8 else "some words") for i in range(16)]
+    got = sorted(map(tuple, catalog.extract_counters(spark, documents(spark, tmp_path, rows)).collect()))
+    assert got == oracle(tmp_path, "extract_counters")
