@@ -1,8 +1,9 @@
 import random
+import sys
 
 import pytest
 
-from moraine.operators import codecs
+from moraine.operators import codecs, tables
 from moraine.testing import encoders
 
 SAMPLES = [b"a", b"aaaa", b"aaaaa", b"\x90\x90\x90abc\x90", b"abab" * 300, bytes(range(256)) * 3, b"the quick brown fox " * 90 + b"z" * 1000, random.Random(3).randbytes(5000), b"\0" * 70_000]
@@ -61,3 +62,56 @@ def test_unknown_methods():
     for method in (5, 6, 8, 7, 14):
         with pytest.raises(codecs.Unsupported):
             codecs.decode(method, b"", 0)
+
+
+def lines_run(call):
+    """Lines of Python that a call runs: its work, whatever the machine."""
+    count = 0
+
+    def trace(frame, event, arg):
+        nonlocal count
+        count += event == "line"
+        return trace
+
+    before = sys.gettrace()
+    sys.settrace(trace)
+    try:
+        call()
+    finally:
+        sys.settrace(before)
+    return count
+
+
+WORDS = b" ".join(random.Random(11).choices([b"of", b"the", b"archive", b"member", b"fork", b"table", b"reads", b"with", b"code", b"length"], k=1500))
+
+
+def predefined(plain, size=None):
+    return encoders.predefined(plain, 3) if size is None else codecs.lz_huffman(plain, size, tables.CODE_SETS)
+
+
+@pytest.mark.parametrize(
+    ("encode", "decode", "most"),
+    [
+        (encoders.rle90, codecs.rle90, 1),
+        (encoders.huffman, codecs.huffman, 8),
+        (encoders.lz_huffman, codecs.lz_huffman, 30),
+        (predefined, predefined, 15),
+        (encoders.arsenic, codecs.arsenic, 38),
+    ],
+)
+def test_lines_of_python_for_each_byte(encode, decode, most):
+    packed = encode(WORDS)
+    assert decode(packed, len(WORDS)) == WORDS
+    assert lines_run(lambda: decode(encode(WORDS), len(WORDS))) < most * len(WORDS)
+
+
+def test_forks_longer_than_what_is_looked_at_together():
+    plain = random.Random(4).randbytes(70_000)
+    for method in (2, 3, 13):
+        assert codecs.decode(method, encoders.ENCODERS[method](plain), len(plain)) == plain
+
+
+def test_lzw_is_not_read_code_by_code(monkeypatch):
+    packed = encoders.lzw(WORDS)
+    monkeypatch.setattr(codecs.LowBits, "take", None)
+    assert codecs.lzw(packed, len(WORDS)) == WORDS
