@@ -15,7 +15,7 @@ from moraine.functions import vocab
 from moraine.functions.native import clean_selector, crc16_ibm_bytes
 from moraine.operators import codecs, crypto
 from moraine.operators import tables as fixed
-from moraine.sources.parse import Entry, Fork, parse
+from moraine.sources.parse import Entry, Fork, parse, rows_of
 
 PAYLOAD_FIELDS = [
     T.StructField("entry_index", T.IntegerType()),
@@ -136,7 +136,7 @@ def payloads(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for archive, content, status, format_, base, resource in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for archive, content, status, format_, base, resource in rows_of(batch):
                 out, held = [], 0
                 found, entries = (status, []) if status != vocab.OK else parse(content, format_, base, resource, normalization)
                 if found != vocab.OK:

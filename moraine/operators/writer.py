@@ -48,12 +48,13 @@ def _header(method: Column) -> Column:
     return body
 
 
-def create(members: DataFrame, default_type: str = DEFAULT_TYPE, default_creator: str = DEFAULT_CREATOR) -> DataFrame:
+def create(members: DataFrame, default_type: str = DEFAULT_TYPE, default_creator: str = DEFAULT_CREATOR, partitions: int | None = None) -> DataFrame:
     """(archive_id, name, content): one classic archive for each archive_id, members in byte order of their names, folders first opened.
 
     Empty paths are left out. Folders follow from the members' paths; a row with null content makes a folder of its own. Times up to 1970 are
     written as zero. Names are cut to 31 bytes and unusual bytes replaced. An archive is one value: its members are sorted together and joined as they
-    stream by, so a task holds one archive; archives are built in parallel.
+    stream by, so a task holds one archive; archives are built in parallel. ``partitions`` fixes the number of tasks, and so what the next steps get at once;
+    without it partitions are joined up to the session's advised size.
     """
     for code in (default_type, default_creator):
         if len(code.encode("ISO-8859-1")) != 4:
@@ -115,7 +116,8 @@ def create(members: DataFrame, default_type: str = DEFAULT_TYPE, default_creator
         if records:
             yield close()
 
-    return everything.repartition("archive_id").sortWithinPartitions("archive_id", "place").mapInArrow(seal, f"archive_id {kind.simpleString()}, name string, content binary")
+    placed = everything.repartition("archive_id") if partitions is None else everything.repartition(partitions, "archive_id")
+    return placed.sortWithinPartitions("archive_id", "place").mapInArrow(seal, f"archive_id {kind.simpleString()}, name string, content binary")
 
 
 def members_of(decoded: DataFrame, entries: DataFrame | None = None) -> DataFrame:

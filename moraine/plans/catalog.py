@@ -41,8 +41,16 @@ def _source() -> Column:
     return F.regexp_extract("archive_id", "^(.*)-[0-9]+$", 1).alias("source")
 
 
+#: Documents of a partition, on average: what a task and its Arrow batches hold is bounded by it, however large the table.
+DOCUMENTS_A_TASK = 1000
+
+
+def _partitions(docs: DataFrame) -> int:
+    return max(16, -(-docs.count() // DOCUMENTS_A_TASK))
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return open_archives(writer.create(_members(spark, sf_dir)))
+    return open_archives(writer.create(_members(spark, sf_dir), partitions=_partitions(_table(spark, sf_dir, "documents"))))
 
 
 def _doc_id(path: Column) -> Column:
@@ -59,7 +67,7 @@ def _encoded(spark: SparkSession, sf_dir: str, build: Callable[[int, bytes], byt
             files = [build(i, (t or "").encode()) for i, t in zip(ids, batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f"{i}.sit" for i in ids]), pa.array(files, pa.binary())], names=["archive_id", "name", "content"])
 
-    return docs.repartition(16).mapInArrow(run, "archive_id long, name string, content binary")
+    return docs.repartition(_partitions(docs), "doc_id").mapInArrow(run, "archive_id long, name string, content binary")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +151,7 @@ def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def delete_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = writer.delete(writer.members_of(decode.payloads(_packed(spark, sf_dir), marks=("folder",))), ["es", "absent/path"])
-    again = list_entries(open_archives(writer.create(kept))).filter("not is_dir")
+    again = list_entries(open_archives(writer.create(kept, partitions=_partitions(_table(spark, sf_dir, "documents"))))).filter("not is_dir")
     return again.select(_source(), "path", F.col("data_fork.size").alias("size"))
 
 
@@ -153,7 +161,7 @@ def add_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = new.withColumn("modify_time", F.when(_doc_id(F.col("path")) % 2 == 0, F.col("modify_time") + 1).otherwise(F.col("modify_time")))
     more = old.filter(_doc_id(F.col("path")) % 50 == 1).withColumn("path", F.concat("path", F.lit(".add")))
     found = writer.add(old, new.unionByName(more), update=True)
-    entries = list_entries(open_archives(writer.create(found))).filter("not is_dir")
+    entries = list_entries(open_archives(writer.create(found, partitions=_partitions(old)))).filter("not is_dir")
     return entries.select(_source(), "path", F.col("data_fork.size").alias("size"))
 
 

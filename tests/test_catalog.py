@@ -84,3 +84,10 @@ def test_method_histogram_of_empty_texts_equals_the_sql(spark, tmp_path):
     rows = [(i, "" if i < 6 else "some words") for i in range(16)]
     got = sorted(map(tuple, catalog.method_histogram(spark, documents(spark, tmp_path, rows)).collect()))
     assert got == oracle(tmp_path, "method_histogram")
+
+
+def test_tasks_follow_the_number_of_documents(spark, tmp_path):
+    folder = documents(spark, tmp_path, [(i, "x") for i in range(40_000)])
+    files = catalog._encoded(spark, folder, lambda i, t: t)
+    assert files.rdd.getNumPartitions() == 40
+    assert max(files.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 1300
